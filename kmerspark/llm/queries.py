@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import op9_query
+from .secrets import op2_query
 from .sharding import OP4_SQL, op4_query
 
 QUERIES = {
+    "op2_secrets": op2_query,
     "op4_sharding": op4_query,
+    "op9_mixing": op9_query,
 }
 
 ORACLE_SQL = {
