@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .fingerprints import op7_query
 from .mixing import op9_query
 from .secrets import op2_query
 from .sharding import OP4_SQL, op4_query
+from .tokens import op8_query
 
 QUERIES = {
     "op2_secrets": op2_query,
     "op4_sharding": op4_query,
+    "op7_fingerprints": op7_query,
+    "op8_tokens": op8_query,
     "op9_mixing": op9_query,
 }
 
