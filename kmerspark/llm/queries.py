@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op3_query
 from .fingerprints import op7_query
 from .mixing import op9_query
 from .secrets import op2_query
@@ -10,6 +11,7 @@ from .tokens import op8_query
 
 QUERIES = {
     "op2_secrets": op2_query,
+    "op3_chat": op3_query,
     "op4_sharding": op4_query,
     "op7_fingerprints": op7_query,
     "op8_tokens": op8_query,
