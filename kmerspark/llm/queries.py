@@ -8,11 +8,13 @@ from .mixing import op9_query
 from .secrets import op2_query
 from .sharding import OP4_SQL, op4_query
 from .tokens import op8_query
+from .toxicity import op6_query
 
 QUERIES = {
     "op2_secrets": op2_query,
     "op3_chat": op3_query,
     "op4_sharding": op4_query,
+    "op6_toxicity": op6_query,
     "op7_fingerprints": op7_query,
     "op8_tokens": op8_query,
     "op9_mixing": op9_query,
