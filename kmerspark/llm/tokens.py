@@ -25,8 +25,8 @@ class WordEncoder:
     """Encodes texts through a word table filled by the tokenizer.
 
     The tokenizer drops white space and never lets a token span it, so a text's ids are those of its parts between
-    blanks and line feeds, in order; equal parts are encoded once. Plain words (ASCII letters, perhaps with a final stop
-    or comma, which it splits off) are encoded many at a time and told apart by their word numbers.
+    blanks and line feeds, in order; equal parts are encoded once. Plain words (letters that stay letters in lower case,
+    perhaps with a final stop or comma, which it splits off) are encoded many at a time and told apart by word numbers.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,7 +47,7 @@ class WordEncoder:
         table, plain, marked = self.table, set(), []
         for w in new:
             stem = w[:-1] if w[-1] in ".," else w
-            if stem.isascii() and stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
                 if stem not in table:
                     plain.add(stem)
                 if stem is not w:
