@@ -17,11 +17,11 @@ def parse_size(text: str | int) -> int:
     return int(text[:-1]) * 1000 ** (at + 1) if at >= 0 else int(text)
 
 
-def format_size(n: int) -> str:
-    """Number divided down (whole division by 1000) to the largest suffix that keeps it at 1 or more."""
+def format_size(n: int, unit: int = 1000) -> str:
+    """Number divided down (whole division by the unit) to the largest suffix that keeps it at 1 or more."""
     i = 0
-    while n >= 1000 and i < len(SUFFIXES):
-        n //= 1000
+    while n >= unit and i < len(SUFFIXES):
+        n //= unit
         i += 1
     return f"{n}{SUFFIXES[i - 1] if i else ''}"
 
