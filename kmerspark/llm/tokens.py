@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, read_table, text_or_empty
 
 #: Words whose ids are remembered in a task; when full, the table starts anew.
-MAX_WORDS = 600_000
+MAX_WORDS = 1_200_000
+MARKS = string.punctuation
 DTYPES = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 END_ID = 2
 
@@ -26,7 +28,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never lets a token span it, so a text's ids are those of its parts between
     blanks and line feeds, in order; equal parts are encoded once. Plain words (letters that stay letters in lower case,
-    perhaps with a final stop or comma, which it splits off) are encoded many at a time and told apart by word numbers.
+    perhaps with ASCII punctuation at the end, which it splits off whole) are encoded many at a time and told apart by word numbers.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,12 +48,12 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         table, plain, marked = self.table, set(), []
         for w in new:
-            stem = w[:-1] if w[-1] in ".," else w
+            stem = w.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
                 if stem not in table:
                     plain.add(stem)
-                if stem is not w:
-                    marked.append(w)
+                if len(stem) < len(w):
+                    marked.append((w, stem, w[len(stem) :]))
             else:
                 table[w] = self._one(w)
         plain = list(plain)
@@ -64,8 +66,8 @@ class WordEncoder:
                 continue
             raw, k = self._ids(e.ids), self.width
             table.update((w, raw[k * a : k * b]) for w, a, b in zip(some, starts[:-1], starts[1:], strict=True))
-        marks = {m: self._one(m) for m in ".,"}
-        table.update((w, table[w[:-1]] + marks[w[-1]]) for w in marked)
+        marks = {m: self._one(m) for m in {x[2] for x in marked}}
+        table.update((w, table[stem] + marks[m]) for w, stem, m in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
