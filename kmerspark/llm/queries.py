@@ -7,6 +7,7 @@ from .decontaminate import op10_query
 from .fingerprints import op7_query
 from .mixing import op9_query
 from .neardup import op1_query
+from .repeats import op5_query
 from .secrets import op2_query
 from .sharding import OP4_SQL, op4_query
 from .tokens import op8_query
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secrets": op2_query,
     "op3_chat": op3_query,
     "op4_sharding": op4_query,
+    "op5_repeats": op5_query,
     "op6_toxicity": op6_query,
     "op7_fingerprints": op7_query,
     "op8_tokens": op8_query,
