@@ -7,6 +7,7 @@ import json
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("kmerspark").getOrCreate()
     try:
         return _run(spark, a)
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

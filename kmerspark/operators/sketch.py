@@ -59,7 +59,7 @@ def bloom_counter(counts: DataFrame, n: int, fpr: float = 0.001) -> DataFrame:
 
 
 def _whole(f):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         return pa.Table.from_batches(list(f(key, iter(table.to_batches()))))
 
     return run

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from kmerspark.functions import alphabet as A
 from kmerspark.operators import count as C
-from kmerspark.operators import extract, lookup, setops, summarize
+from kmerspark.operators import extract, lookup, setops, sketch, summarize
+from kmerspark.scratch import scratch_path
+from kmerspark.sources import database, generators, sequences
+from kmerspark.streaming import running
 
 from . import fixtures as X
 
@@ -353,3 +356,124 @@ def _(m):
 @_algebra("mer_order", "kmer < reverse(translate(kmer, 'ACGT', 'TGCA')) AS lt_rc, kmer = reverse(translate(kmer, 'ACGT', 'TGCA')) AS palindrome")
 def _(m):
     return m.select("kmer", (A.pack("kmer") < A.pack(A.reverse_complement("kmer"))).alias("lt_rc"), (F.col("kmer") == A.reverse_complement("kmer")).alias("palindrome"))
+
+
+# --- files: what is written is read back
+
+_C7 = (X.SQL["reads_c"], counts_sql("c", "reads_c", 7, True))
+
+
+def _c7(spark, d):
+    return C.count_kmers(X.reads_c(spark, d), 7, canonical=True)
+
+
+@query("dump_fasta", with_sql(*_C7) + "SELECT '>' || count || chr(10) || kmer AS value FROM c WHERE count >= 2")
+def _(spark, d):
+    return database.dump_fasta(_c7(spark, d), lower=2)
+
+
+@query("dump_columns", with_sql(*_C7) + "SELECT kmer || chr(9) || count AS value FROM c")
+def _(spark, d):
+    return database.dump_columns(_c7(spark, d), tab=True)
+
+
+def _wrapped(c: str):
+    return F.regexp_replace(c, "(.{13})", "$1\n")
+
+
+@query("fasta_scan", with_sql(X.SQL["reads_c"]) + "SELECT 'r' || rid || ' > x' AS header, seq FROM reads_c")
+def _(spark, d):
+    path = scratch_path(spark, "fasta")
+    X.reads_c(spark, d).select(F.concat(F.lit(">r"), F.col("rid").cast("string"), F.lit(" > x\n"), _wrapped("seq"), F.lit("\n")).alias("value")).write.text(path)
+    return sequences.read_fasta(spark, path).select("header", "seq")
+
+
+@query("fasta_scan_streamed", with_sql(X.SQL["reads_c"], counts_sql("c", "reads_c", 9)) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    path = scratch_path(spark, "fasta")
+    X.reads_c(spark, d).select(F.concat(F.lit(">r"), F.col("rid").cast("string"), F.lit("\r\n"), F.regexp_replace("seq", "(.{13})", "$1\r\n"), F.lit("\r")).alias("value")).write.option("compression", "gzip").text(path)
+    return C.count_kmers(sequences.read_sequences(spark, path), 9)
+
+
+@query("fastq_scan", with_sql(X.SQL["reads_a"]) + "SELECT rid AS header, seq, qual FROM reads_a")
+def _(spark, d):
+    path = scratch_path(spark, "fastq")
+    X.reads_a(spark, d).select(F.concat(F.lit("@"), "rid", F.lit("\n"), _wrapped("seq"), F.lit("\n+\n"), _wrapped("qual")).alias("value")).write.text(path)
+    return sequences.read_sequences(spark, path).select("header", "seq", "qual")
+
+
+@query("sam_scan", with_sql(X.SQL["reads_a"]) + "SELECT rid AS header, seq, qual FROM reads_a")
+def _(spark, d):
+    path = scratch_path(spark, "sam")
+    sequences.fastq_to_sam(X.reads_a(spark, d).withColumnRenamed("rid", "header")).write.text(path)
+    return sequences.read_sam(spark, path).select("header", "seq", "qual")
+
+
+@query("database_round_trip", with_sql(*_C7) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    path = scratch_path(spark, "counts")
+    database.write_database(_c7(spark, d), path, 7, True)
+    return database.read_database(spark, path)
+
+
+@query("binary_round_trip", with_sql(X.SQL["reads_a"], counts_sql("c", "reads_a", 3)) + "SELECT kmer, least(count, 65535)::BIGINT AS count FROM c")
+def _(spark, d):
+    path = scratch_path(spark, "binary")
+    database.write_exchange(C.count_kmers(X.reads_a(spark, d), 3), path, 3, counter_len=2)
+    return database.read_binary(spark, path)
+
+
+@query("text_round_trip", with_sql(*_C7) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    path = scratch_path(spark, "text")
+    database.write_exchange(_c7(spark, d), path, 7, True, text=True)
+    return database.read_text(spark, path)
+
+
+@query("generator_commands", "SELECT kmer, count::BIGINT AS count FROM (VALUES ('ACG', 3), ('CGT', 2), ('GTA', 1)) v(kmer, count)")
+def _(spark, d):
+    commands = generators.read_commands("# comment\nprintf '>a\\nACGT\\n'\n\nprintf '>b\\nacg\\nTA\\n>c\\nACG'\n")
+    return C.count_kmers(generators.run_generators(spark, commands, allow_execution=True), 3)
+
+
+@query("random_reads")
+def _(spark, d):
+    return summarize.histogram(C.count_kmers(generators.random_reads(spark, 2000, 150, seed=7), 6, canonical=True))
+
+
+@query("udtf_kmers", with_sql(*_C7) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    from kmerspark.functions.udtf import register
+
+    register(spark)
+    return spark.sql("SELECT k.kmer, count(1) AS count FROM {reads} r, LATERAL kmers(r.seq, 7, true) k GROUP BY k.kmer", reads=X.reads_c(spark, d))
+
+
+# --- streams and sketches
+
+
+@query("stream_running_counts", with_sql(X.SQL["reads_c"], counts_sql("c", "reads_c", 5, True)) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    path, name = scratch_path(spark, "stream"), "running_" + scratch_path(spark, "x")[-8:]
+    X.reads_c(spark, d).repartition(3).write.parquet(path)
+    reads = running.stream_reads(spark, path, "rid long, seq string", files_per_trigger=2)
+    q = running.running_counts(reads, 5, canonical=True).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_partials_compacted", with_sql(X.SQL["reads_c"], counts_sql("c", "reads_c", 9)) + "SELECT kmer, count FROM c")
+def _(spark, d):
+    path, out = scratch_path(spark, "stream"), scratch_path(spark, "partials")
+    X.reads_c(spark, d).repartition(3).write.parquet(path)
+    reads = running.stream_reads(spark, path, "rid long, seq string", files_per_trigger=1)
+    running.append_partials(reads, 9, out, scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return running.compact(spark, out)
+
+
+@query("bloom_sketch_fp_bounded")
+def _(spark, d):
+    """k-mers that a sketched first pass keeps: all that occur twice, and a bounded share of singletons."""
+    counts = C.count_kmers(X.reads_c(spark, d), 12)
+    n = max(counts.count(), 1)
+    return summarize.stats(sketch.sketch_filter(counts, counts, n, 0.001))

@@ -83,7 +83,7 @@ def parse_sam(stream) -> Iterator[tuple[str, str, str]]:
             if len(f) < 11:
                 raise SequenceFormatError("a SAM line has fewer than 11 fields")
             seq = "" if f[9] == "*" else f[9]
-            yield f[0], seq, _absent(len(seq)) if f[10] == "*" and seq != "*" and len(seq) != 1 else f[10]
+            yield f[0], seq, _absent(len(seq)) if f[10] == "*" and len(seq) != 1 else f[10]
 
 
 def _absent(n: int) -> str:
@@ -107,8 +107,10 @@ def parse_bam(stream) -> Iterator[tuple[str, str, str]]:
         size = read(4)
         if not size:
             return
+        if len(size) < 4:
+            raise SequenceFormatError("a BAM record is cut off")
         body = read(struct.unpack("<i", size)[0])
-        if len(size) < 4 or len(body) < 32:
+        if len(body) < max(32, struct.unpack("<i", size)[0]):
             raise SequenceFormatError("a BAM record is cut off")
         l_name, n_cigar, l_seq = body[8], struct.unpack_from("<H", body, 12)[0], struct.unpack_from("<i", body, 16)[0]
         at = 32 + l_name + 4 * n_cigar
