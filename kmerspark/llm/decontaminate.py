@@ -89,15 +89,15 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH) -> None:
         self.min_match = min_match
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, list[int]] = {}
+        self.items: list[tuple[int, list[int]]] = []
         seeds: dict[int, set[int]] = defaultdict(set)
         for key, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if len(ids) < min_match:
                 continue  # too short to share a passage
-            self.items[key] = ids
             for h in gram_hashes(np.array(ids, np.uint64), min_match).tolist():
-                seeds[h].add(key)
+                seeds[h].add(len(self.items))
+            self.items.append((key, ids))
         self.seeds = dict(seeds)
         self.hashes = np.array(sorted(seeds), np.uint64)
 
@@ -112,12 +112,12 @@ class Benchmark:
         near = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
         spots: dict[int, list[int]] = defaultdict(list)
         for d in np.flatnonzero(self.hashes[near] == grams).tolist():
-            for key in self.seeds[int(grams[d])]:
-                spots[key].append(d)
+            for i in self.seeds[int(grams[d])]:
+                spots[i].append(d)
         out = []
-        for key in sorted(spots):
-            item = self.items[key]
-            found = tiles(item, doc, spots[key], self.min_match)
+        for i in sorted(spots):
+            key, item = self.items[i]
+            found = tiles(item, doc, spots[i], self.min_match)
             out.append((key, sum(t[2] for t in found) / len(item), len(found)))
         return out
 
