@@ -17,7 +17,7 @@ from .components import connected_components
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Texts of a candidate cluster that are verified in one piece of memory, and shingles of them; larger clusters are cut
 #: into blocks and every pair of blocks is verified apart.
-MAX_TEXTS, MAX_SHINGLES = 384, 3_000_000
+MAX_TEXTS, MAX_SHINGLES = 384, 1_000_000
 _WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -101,14 +101,17 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
 def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
     """Sizes of all intersections of the sets in ``a`` with those in ``b`` (default: with one another)."""
     sets = a if b is None else a + b
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(np.concatenate(sets), kind="stable")
-    values, row = np.concatenate(sets)[order], row[order]
-    starts = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
-    col = np.cumsum(starts) - 1
-    shared = np.bincount(col)[col] > 1
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    values = values[order]
+    del order
+    col = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))[: len(values)], dtype=np.int32) - 1
+    del values
+    shared = (np.bincount(col) > 1)[col]
     row, col = row[shared], col[shared]
-    col = np.cumsum(np.concatenate(([True], col[1:] != col[:-1]))) - 1 if len(col) else col
+    del shared
+    col = np.cumsum(np.concatenate(([True], col[1:] != col[:-1])), dtype=np.int32) - 1 if len(col) else col
     out = np.zeros((len(a), len(a if b is None else b)), np.float32)
     width = 2048
     for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):

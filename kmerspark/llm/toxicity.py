@@ -39,7 +39,7 @@ def count_features(text: str | None, known: dict[str, int], memo: dict[str, tupl
     for w in found:
         hit = memo.get(w)
         if hit is None:
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             hit = memo[w] = tuple(known[f] for f in features_of_word(w) if f in known)
         for f in hit:
