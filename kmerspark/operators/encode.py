@@ -16,13 +16,13 @@ PIECE = 1 << 22
 DENSE = 1 << 22
 
 
-def _windows(codes: np.ndarray, k: int, canonical: bool) -> np.ndarray:
-    """Packed k-mers of all windows without an invalid base."""
+def _windows(codes: np.ndarray, begins: np.ndarray, k: int, canonical: bool) -> np.ndarray:
+    """Packed k-mers of all windows without an invalid base that lie in one sequence; ``begins`` marks sequences' first bases."""
     if len(codes) < k:
         return np.zeros(0, np.int64)
-    bad = (codes > 3).astype(np.int64)
-    total = np.concatenate(([0], np.cumsum(bad)))
-    valid = total[k:] == total[:-k]
+    total = np.concatenate(([0], np.cumsum(codes > 3, dtype=np.int32)))
+    first = np.cumsum(begins, dtype=np.int32)
+    valid = (total[k:] == total[:-k]) & (first[k - 1 :] == first[: len(first) - k + 1])
     c = (codes & 3).astype(np.int64)
     forward, reverse, have = None, None, 0  # windows of `have` bases
     size, f, r = 1, c, 3 - c  # windows of `size` bases, a power of two
@@ -53,34 +53,38 @@ def _counted(packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(packed, return_counts=True)
 
 
+def _buffer(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all strings, where each begins and the last ends), without copying them."""
+    wide = pa.types.is_large_string(strings.type)
+    offsets = np.frombuffer(strings.buffers()[1], np.int64 if wide else np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    raw = strings.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def encode(seqs: pa.Array, quals: pa.Array | None, k: int, canonical: bool, min_qual: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed k-mers and their counts, by pieces of a batch of sequences (nulls are empty).
 
     A base whose quality is below ``min_qual`` breaks windows as an invalid one does; a sequence without qualities passes.
     """
-    held, size = [], 0
-
-    def flush():
-        return _counted(_windows(np.concatenate(held), k, canonical), k)
-
-    for i in range(len(seqs)):
-        raw = seqs[i].as_buffer()
-        if raw is None:
-            continue
-        codes = _CODES[np.frombuffer(raw, np.uint8)]
-        q = quals[i].as_buffer() if quals is not None and min_qual is not None else None
-        if q is not None:
-            low = np.frombuffer(q, np.uint8) < min_qual
-            n = min(len(low), len(codes))
-            codes[:n][low[:n]] = 4
-        for start in range(0, max(len(codes), 1), PIECE):
-            held += [codes[start : start + PIECE + k - 1], np.array([4], np.uint8)]
-            size += len(held[-2])
-            if size >= PIECE:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+    if not len(seqs):
+        return
+    data, offsets = _buffer(seqs.fill_null(""))
+    codes = _CODES[data]
+    if quals is not None and min_qual is not None:
+        low, places = _buffer(quals.fill_null(""))
+        low = low < min_qual
+        if quals.null_count == 0 and np.array_equal(places, offsets):
+            codes[low] = 4
+        else:
+            for i in np.flatnonzero(np.diff(places)).tolist():
+                n = min(places[i + 1] - places[i], offsets[i + 1] - offsets[i])
+                codes[offsets[i] : offsets[i] + n][low[places[i] : places[i] + n]] = 4
+    begins = np.zeros(len(codes) + 1, bool)
+    begins[offsets[:-1]] = True
+    for start in range(0, len(codes), PIECE):
+        end = min(start + PIECE + k - 1, len(codes))
+        yield _counted(_windows(codes[start:end], begins[start:end], k, canonical), k)
 
 
 def counting_task(k: int, canonical: bool, min_qual: int | None):
