@@ -7,6 +7,7 @@ from .decontaminate import op10_query
 from .fingerprints import op7_query
 from .mixing import op9_query
 from .neardup import op1_query
+from .oracles import OP1_SQL, OP5_SQL, OP9_SQL
 from .repeats import op5_query
 from .secrets import op2_query
 from .sharding import OP4_SQL, op4_query
@@ -27,5 +28,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": OP1_SQL,
     "op4_sharding": OP4_SQL,
+    "op5_repeats": OP5_SQL,
+    "op9_mixing": OP9_SQL,
 }

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, read_table
@@ -21,6 +21,10 @@ GRAM = 40  # bytes of an anchor
 UNIT = 16_384
 #: Bytes worked on at once, so that the arrays stay in a core's cache; and bytes of snippets merged at once.
 PIECE, BUCKET = 1 << 18, 1 << 21
+#: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, grouped by its hash.
+MAX_VARIANTS = 50_000
+#: In place of the anchor's offset: a run whose snippet comes earlier in the same text.
+LATER = 255
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -104,6 +108,14 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return owner[cut], cut - begin, windows, offset, h[anchor[cut]].view(np.int64), snippet.view(np.int64)
 
 
+def first_in_text(t: np.ndarray, g: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which runs are the first of their text with their anchor and snippet."""
+    keys = (g.view(np.uint64) * np.uint64(_BASE) ^ v.view(np.uint64)) * np.uint64(_INVERSE) + t.astype(np.uint64)
+    out = np.zeros(len(keys), bool)
+    out[np.unique(keys, return_index=True)[1]] = True
+    return out
+
+
 def _pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) of about ``most`` bytes."""
     first, held, size = 0, [], 0
@@ -186,10 +198,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a document of smaller doc_id (nulls first,
     ties in a fixed order of their places in the input), or earlier in the same one. Strings are judged on the input and don't cross documents.
 
-    1. Each window is named by its anchor; windows whose anchor is nowhere else can't repeat.
-    2. Equal snippets of an anchor are one variant, with its first place.
+    1. Each window is named by its anchor; windows whose anchor is nowhere else can't repeat. Anchors are counted in a pass
+       of their own, combined before the shuffle, so that a common one is a sum and not a pile of rows.
+    2. Equal snippets of an anchor are one variant, with its first place. A document's later runs of a variant are lost
+       at once.
     3. The variants of anchors with more than one are merged: suffix orders by shard, interleaved by refinement
-       (see :mod:`suffixes`). Blocks of equal strings of ``length`` bytes give each window its first place.
+       (see :mod:`suffixes`). Blocks of equal strings of ``length`` bytes give each window its first place. An anchor of
+       over MAX_VARIANTS variants has its windows merged apart, by their hash, so no group grows with the input.
     4. All of a variant's places but the first lose all windows; the first loses those that start earlier elsewhere.
 
     Texts are never shuffled: findings are written by input unit and read back beside the texts. Null and empty texts,
@@ -200,25 +215,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = placed(docs, key, text)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, some in _pieces(b, 0):
+                t, _, _, _, anchor, snippet = runs_of(some, length)
+                g, many = np.unique(anchor[first_in_text(t, anchor, snippet)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(many)], names=["g", "many"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, units, places = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, some in _pieces(b, 1):
                 t, start, windows, offset, anchor, snippet = runs_of(some, length)
+                later = ~first_in_text(t, anchor, snippet)
+                anchor[later] ^= start[later] * np.int64(0x9E3779B97F4A7C1)  # they wait for no other row: spread them
+                offset[later] = LATER
                 t = t + first
                 pack = (start << 16 | windows << 8 | offset).astype(np.int64)
                 doc = np.where(null[t], -(1 << 63), ids[t]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, snippet, doc, units[t].astype(np.int64), places[t].astype(np.int64), pack)], names=["g", "v", "doc", "unit", "row", "pack"])
 
+    shared = rows.select("text").mapInArrow(count, "g long, many long").groupBy("g").agg(F.sum("many").alias("many")).filter("many > 1").select(F.col("g").alias("again"))
+    shared = materialize(shared, "repeats-anchors")
     found = rows.mapInArrow(find, "g long, v long, doc long, unit long, row long, pack long")
-    found = found.repartition(n, "g").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("n > 1").drop("n")
-    places = materialize(found, "repeats-places")
+    is_later = F.col("pack").bitwiseAND(F.lit(255)) == LATER
+    found = found.join(shared, found["g"] == shared["again"], "left").filter(F.col("again").isNotNull() | is_later).drop("again")
+    found = materialize(found, "repeats-places")
+    places = found.filter(~is_later)
     variants = places.groupBy("g", "v").agg(F.min(F.struct("doc", "unit", "row", "pack")).alias("first"))
-    variants = variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
-    variants = materialize(variants.select("g", "v", "first.*", "n"), "repeats-variants")
-
-    side = _by_unit(variants.filter("n > 1").select("unit", "row", "g", "v", "pack"), "repeats-wanted")
+    variants = materialize(variants.select("g", "v", "first.*"), "repeats-variants")
+    several = materialize(variants.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > MAX_VARIANTS).alias("hot")), "repeats-several")
+    side = _by_unit(variants.join(several, "g").select("unit", "row", "g", "v", "pack", "hot"), "repeats-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = _Side(side)
@@ -228,23 +256,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 ask = wanted.rows(unit, row)
                 if ask:
                     raw = t.encode("utf-8", "surrogatepass")
-                    for g, v, pack in ask:
-                        s = pack >> 16
-                        out.append((g, v, -(1 << 63) if doc is None else doc, unit, row, s, raw[s : s + (pack >> 8 & 255) + length - 1]))
+                    for g, v, pack, hot in ask:
+                        s, windows = pack >> 16, pack >> 8 & 255
+                        where = (g, v, -(1 << 63) if doc is None else doc, unit, row)
+                        if not hot:
+                            out.append((g, *where, s, 0, raw[s : s + windows + length - 1]))
+                            continue
+                        for i in range(windows):
+                            w = raw[s + i : s + i + length]
+                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), *where, s + i, i, w))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["g", "v", "doc", "unit", "row", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["k", "g", "v", "doc", "unit", "row", "start", "base", "bytes"])
 
-    snippets = rows.mapInArrow(cut, "g long, v long, doc long, unit long, row long, start long, bytes binary")
-    snippets = snippets.repartition(n, "g").sortWithinPartitions("g")
+    snippets = rows.mapInArrow(cut, "k long, g long, v long, doc long, unit long, row long, start long, base long, bytes binary")
+    snippets = snippets.repartition(n, "k").sortWithinPartitions("k")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def result() -> pa.RecordBatch:
-            rank = {d: i for i, d in enumerate(sorted({x[2:5] for x in held}))}
-            ranges = owned_ranges([(rank[x[2:5]], x[5], x[6]) for x in held], length)
-            keep = [(x[0], x[1], r) for x, r in zip(held, ranges, strict=True) if r]
+            rank = {d: i for i, d in enumerate(sorted({x[3:6] for x in held}))}
+            ranges = owned_ranges([(rank[x[3:6]], x[6], x[8]) for x in held], length)
+            keep = [(x[1], x[2], [x[7] + i for i in r]) for x, r in zip(held, ranges, strict=True) if r]
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], names=["g", "v", "ranges"])
 
         for b in batches:
@@ -253,7 +287,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield result()
                     held, size = [], 0
                 held.append(x)
-                size += len(x[6])
+                size += len(x[8])
                 last = x[0]
         if held:
             yield result()
@@ -267,7 +301,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     lost = firsts.select("unit", "row", F.explode(spread).alias("x")).select("unit", "row", "x.a", "x.b")
     heads = variants.select("g", "v", F.col("unit").alias("fu"), F.col("row").alias("fr"), F.col("pack").alias("fp"))
     rest = places.join(heads, ["g", "v"]).filter("NOT (unit = fu AND row = fr AND pack = fp)").select("unit", "row", start.alias("a"), (start + windows + (length - 1)).alias("b"))
-    spans = _by_unit(lost.unionByName(rest), "repeats-spans")
+    again = found.filter(is_later).select("unit", "row", start.alias("a"), (start + windows + (length - 1)).alias("b"))
+    spans = _by_unit(lost.unionByName(rest).unionByName(again), "repeats-spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findings = _Side(spans)

@@ -39,7 +39,7 @@ def count_features(text: str | None, known: dict[str, int], memo: dict[str, tupl
     for w in found:
         hit = memo.get(w)
         if hit is None:
-            if len(memo) > 200_000:
+            if len(memo) > 100_000:
                 memo.clear()
             hit = memo[w] = tuple(known[f] for f in features_of_word(w) if f in known)
         for f in hit:
@@ -116,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
                 counts: dict[str, list[int]] = {}
                 for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for f in {f for w in set(words(t)) for f in features_of_word(w)}:

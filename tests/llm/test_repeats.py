@@ -6,7 +6,7 @@ import pytest
 
 from kmerspark.llm import repeats
 from kmerspark.llm.repeats import remove_repeats, runs_of
-from kmerspark.llm.suffixes import merged_blocks
+from kmerspark.llm.suffixes import Transform, merged_blocks, merged_transforms
 
 
 def brute(texts, length=100):
@@ -41,8 +41,9 @@ def corpora():
 
 
 @pytest.mark.parametrize("texts", list(corpora()))
-@pytest.mark.parametrize("shard", [1 << 18, 700])
-def test_removal_equals_brute_force(spark, docs_of, monkeypatch, texts, shard):
+@pytest.mark.parametrize("shard,variants", [(1 << 18, 50_000), (700, 1)])
+def test_removal_equals_brute_force(spark, docs_of, monkeypatch, texts, shard, variants):
+    monkeypatch.setattr(repeats, "MAX_VARIANTS", variants)
     monkeypatch.setattr(repeats, "merged_blocks", lambda data, ends, length: merged_blocks(data, ends, length, shard))
     monkeypatch.setattr(repeats, "PIECE", 1500)
     got = {r["doc_id"]: r for r in remove_repeats(docs_of(texts)).collect()}
@@ -88,3 +89,20 @@ def test_interleave_orders_and_prefixes(shard):
     assert prefixes == sorted(prefixes)
     assert blocks.tolist() == [i for i in range(len(order)) if i == 0 or prefixes[i] != prefixes[i - 1]]
     assert all((common[i] == 100) == (prefixes[i] == prefixes[i - 1]) for i in range(1, len(order)))
+
+
+def test_transforms_merge_to_the_same_blocks():
+    r = random.Random(6)
+    strings = [text(r, r.randrange(0, 160), "ab").encode() for _ in range(40)] + [b"a" * 150, b"a" * 151, b"ab" * 70]
+    shards = [Transform(strings[i : i + 11], 100) for i in range(0, len(strings), 11)]
+    order, block = merged_transforms(shards, 100)
+    names = [(11 * n + k, i) for n, s in enumerate(shards) for k, i in s.places]
+    got = [(block[at], names[x]) for at, x in enumerate(order) if names[x][1] + 100 <= len(strings[names[x][0]])]
+    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
+    plain, starts, _ = merged_blocks(data, ends, 100, 500)
+    begins = np.concatenate(([0], ends[:-1]))
+    groups = {}
+    for b, (k, i) in got:
+        groups.setdefault(b, set()).add(int(begins[k]) + i)
+    assert [groups[b] for b in sorted(groups)] == [set(x.tolist()) for x in np.split(plain, starts[1:])]
+    assert [strings[k][i : i + 100] for _, (k, i) in got] == sorted(strings[k][i : i + 100] for _, (k, i) in got)
