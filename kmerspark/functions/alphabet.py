@@ -110,7 +110,8 @@ def pack(mer: Column | str) -> Column:
 
 
 def unpack(packed: Column | str, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(_col(packed).cast("string"), 10, 4), k, "0"), "0123", BASES)
+    """k-mer of a packed long. Never null, so that a join infers no null check to repeat the decoding for."""
+    return F.coalesce(F.translate(F.lpad(F.conv(_col(packed).cast("string"), 10, 4), k, "0"), "0123", BASES), F.lit(""))
 
 
 def get_bits(mer: Column | str, start: int, length: int) -> Column:

@@ -50,6 +50,8 @@ def kmers_at(df: DataFrame, k: int, keys: list[str], seq: str = "seq", qual: str
     out = df.select(*keys, s.alias("_run"), F.lit(0).cast("long").alias("_at")).filter(F.length("_run") >= k)
     for step in STEPS:
         out = out.select(*keys, F.posexplode(_pieces(F.col("_run"), k, step)).alias("_i", "_piece"), "_at").select(*keys, F.col("_piece").alias("_run"), (F.col("_at") + F.col("_i") * step).alias("_at"))
-    windows = F.transform(F.sequence(F.lit(1), F.length("_run") - k + 1), lambda i: F.substring(F.col("_run"), i, F.lit(k)))
-    out = out.select(*keys, F.posexplode(windows).alias("_i", "kmer"), "_at").filter(~F.col("kmer").rlike("[^ACGT]"))
+    # invalid windows become nulls, so that a join on the k-mer infers no pattern match for its other side
+    window = lambda i: F.substring(F.col("_run"), i, F.lit(k))
+    windows = F.transform(F.sequence(F.lit(1), F.length("_run") - k + 1), lambda i: F.when(~window(i).rlike("[^ACGT]"), window(i)))
+    out = out.select(*keys, F.posexplode(windows).alias("_i", "kmer"), "_at").filter(F.col("kmer").isNotNull())
     return out.select(*keys, (F.col("_at") + F.col("_i")).alias("pos"), (canonical_of("kmer") if canonical else F.col("kmer")).alias("kmer"))
