@@ -59,16 +59,22 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-f", "--fpr", type=float, default=0.001)
     c.add_argument("-o", "--output", default="mer_bloom_counter")
 
-    c = sub.add_parser("histo", help="histogram of the counts")
+    c = sub.add_parser("histo", help="histogram of the counts", add_help=False)  # -h is the high end here
+    c.add_argument("--help", action="help")
     c.add_argument("db")
+    c.add_argument("-t", "--threads")
+    c.add_argument("-s", "--size")
+    c.add_argument("-v", "--verbose", action="store_true")
     c.add_argument("-l", "--low", type=int, default=1)
-    c.add_argument("--high", type=int, default=10_000)
+    c.add_argument("-h", "--high", type=int, default=10_000)
     c.add_argument("-i", "--increment", type=int, default=1)
     c.add_argument("-f", "--full", action="store_true")
     c.add_argument("-o", "--output")
 
     c = sub.add_parser("stats", help="unique, distinct, total and highest count")
     c.add_argument("db")
+    c.add_argument("-r", "--recompute", action="store_true")
+    c.add_argument("-v", "--verbose", action="store_true")
     c.add_argument("-L", "--lower-count", type=int, default=0)
     c.add_argument("-U", "--upper-count", type=int)
     c.add_argument("-o", "--output")
@@ -97,6 +103,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-s", "--sequence", action="append", default=[])
     c.add_argument("-i", "--interactive", action="store_true")
     c.add_argument("-l", "--load", action="store_true")
+    c.add_argument("-L", "--no-load", action="store_true")
     c.add_argument("-o", "--output")
 
     c = sub.add_parser("info", help="how a table was made")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import gzip
 import io
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
@@ -20,9 +22,6 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def list_files(paths: list[str]) -> list[tuple[str, int]]:
     """(uri, size) of every file: of a folder, the visible files in it; of a pattern with * or ?, those that match."""
-    import fnmatch
-    import os
-
     out = []
     for p in paths:
         fs, path = filesystem(p)
@@ -34,7 +33,8 @@ def list_files(paths: list[str]) -> list[tuple[str, int]]:
             if info.type == pafs.FileType.NotFound:
                 raise FileNotFoundError(p)
             infos = fs.get_file_info(pafs.FileSelector(path)) if info.type == pafs.FileType.Directory else [info]
-        out += sorted((prefix + i.path, i.size) for i in infos if i.is_file and not i.base_name.startswith((".", "_")))
+        # what is neither file nor folder is a pipe
+        out += sorted((prefix + i.path, i.size or 0) for i in infos if i.type in (pafs.FileType.File, pafs.FileType.Unknown) and not i.base_name.startswith((".", "_")))
     return out
 
 
@@ -42,6 +42,10 @@ def list_files(paths: list[str]) -> list[tuple[str, int]]:
 def open_stream(uri: str, offset: int = 0) -> Iterator[io.BufferedReader]:
     """Buffered bytes from ``offset`` on; gzip members (also blocked gzip) are unpacked."""
     fs, path = filesystem(uri)
+    if isinstance(fs, pafs.LocalFileSystem) and not os.path.isfile(path):  # a pipe can't be read from any place but its start
+        with open(path, "rb") as pipe:
+            yield io.BufferedReader(gzip.GzipFile(fileobj=pipe), 1 << 20) if pipe.peek(2)[:2] == b"\x1f\x8b" else pipe
+        return
     raw = fs.open_input_file(path)
     try:
         magic = raw.read(2)

@@ -169,7 +169,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert dict(x.split() for x in out.splitlines()) == {m: str(c) for m, c in expected.items()}
     assert run(spark, capsys, "dump", "-L", 2, db)[1].count(">") == sum(c >= 2 for c in expected.values())
     assert run(spark, capsys, "count", "-m", 3, "-C", "--text", "-o", text, fa)[0] == 0
-    for command in (["stats"], ["histo"], ["dump", "-c", "-t"]):
+    for command in (["stats"], ["histo"], ["histo", "-l", 1, "-h", 2, "-f"], ["dump", "-c", "-t"]):
         a, b = (sorted(run(spark, capsys, *command, x)[1].splitlines()) for x in (db, text))
         assert a == b and a
     assert f"Distinct:  {len(expected)}" in run(spark, capsys, "stats", db)[1]
@@ -200,6 +200,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(spark, capsys, "count", "-m", 3, "-o", tmp_path / "z", tmp_path / "nowhere.fa")[0] != 0
 
 
+def test_named_pipe(spark, tmp_path):
+    import os
+    import threading
+
+    pipe = str(tmp_path / "pipe")
+    os.mkfifo(pipe)
+    writer = threading.Thread(target=lambda: open(pipe, "w").write(FASTA), daemon=True)
+    writer.start()
+    got = S.read_sequences(spark, pipe).select("header", "seq").collect()  # one pass: a sort would read it twice
+    assert [tuple(r) for r in got] == [("read1 some > text", "ACGTACNNA"), ("read2", ""), ("read3", "GGTTA")]
+
+
 def test_metadata_and_size(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("SOURCE_DATE_EPOCH", "0")
     database.write_database(spark.createDataFrame([("AC", 1)], "kmer string, count long"), str(tmp_path / "d"), 2, False)
