@@ -52,7 +52,7 @@ class Shingler:
         memo = self.memo
         new = set(found).difference(memo)
         if new:
-            if len(memo) > 500_000:
+            if len(memo) > 100_000:
                 memo.clear()
                 new = set(found)
             memo.update((w, xxhash.xxh64_intdigest(w)) for w in new)
@@ -86,14 +86,13 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             rows = []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 rows.append((_node(s), xxhash.xxh64_intdigest((t or "").encode()) >> 1, len(s), signature(s)))
-            if rows:
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), bands], names=["doc_id", "node", "text_hash", "n_shingles", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), bands], names=["doc_id", "node", "text_hash", "n_shingles", "bands"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, node long, text_hash long, n_shingles long, bands array<long>")
 
@@ -211,7 +210,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             cols = list(zip(*out, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v", "documents", "texts"])
 
-        for b in batches:
+        for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
             for c, i, j, node, side, copies, n_texts, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (c, i, j) != held:
                     if rows:

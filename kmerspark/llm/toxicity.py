@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             rows = [_values(*count_features(t, known, memo)) for t in b.column(at).to_pylist()]
             above = model.above(rows) if rows else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= threshold)], names=[*names, "severity", "toxic"])
