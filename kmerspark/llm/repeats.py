@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read_table
+from .common import materialize, new_path, read_table, text_or_empty
 from .suffixes import merged_blocks
 from .tokens import _filesystem
 
@@ -29,12 +30,17 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+@lru_cache(4)
+def _power_table(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return _power_table(base, 1 << n.bit_length())[:n]
+
+
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
     """Mixed hash of every ``k`` bytes, from windows of doubled size."""
     cur, size, power = data.astype(np.uint64) + np.uint64(1), 1, _BASE
@@ -58,13 +64,8 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the least hash in every ``w`` in a row, the leftmost of equal ones."""
-
-    def join(a, b):
-        lower = b[0] < a[0]
-        return np.where(lower, b[0], a[0]), np.where(lower, b[1], a[1])
-
-    cur, size = (h, np.arange(len(h), dtype=np.int32)), 1
+    """Place of the least hash (its upper half) in every ``w`` in a row, the leftmost of equal ones."""
+    cur, size = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     out, have, rest = None, 0, w
     while True:
         if rest & 1:
@@ -72,13 +73,13 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
                 out, have = cur, size
             else:
                 n = len(h) - have - size + 1
-                out = join((out[0][:n], out[1][:n]), (cur[0][have : have + n], cur[1][have : have + n]))
+                out = np.minimum(out[:n], cur[have : have + n])
                 have += size
         rest >>= 1
         if not rest:
-            return out[1]
-        n = len(cur[0]) - size
-        cur, size = join((cur[0][:n], cur[1][:n]), (cur[0][size : size + n], cur[1][size : size + n])), 2 * size
+            return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        n = len(cur) - size
+        cur, size = np.minimum(cur[:n], cur[size : size + n]), 2 * size
 
 
 def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -120,7 +121,7 @@ def _pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[t
     """(first row, texts as bytes) of about ``most`` bytes."""
     first, held, size = 0, [], 0
     for i, t in enumerate(batch.column(column).to_pylist()):
-        held.append((t or "").encode("utf-8", "surrogatepass"))
+        held.append(t)
         size += len(held[-1])
         if size >= most:
             yield first, held
@@ -180,13 +181,13 @@ def _by_unit(df: DataFrame, name: str) -> str:
 
 
 def placed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, unit, row): rows named by their place in the files they are read from; frames that have none are written first."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, raw, unit, row): rows named by their place in the files they are read from; frames that have none are written first."""
+    slim = (F.col(key).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("raw"))
     place = (F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {UNIT}")).alias("unit"), F.col("_metadata.row_index").alias("row"))
     try:
-        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *place)
+        return docs.select(*slim, *place)
     except AnalysisException:
-        return materialize(slim, "repeats-docs").select("doc_id", "text", *place)
+        return materialize(docs.select(*slim), "repeats-docs").select("doc_id", "raw", *place)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
@@ -236,7 +237,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 doc = np.where(null[t], -(1 << 63), ids[t]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, snippet, doc, units[t].astype(np.int64), places[t].astype(np.int64), pack)], names=["g", "v", "doc", "unit", "row", "pack"])
 
-    shared = rows.select("text").mapInArrow(count, "g long, many long").groupBy("g").agg(F.sum("many").alias("many")).filter("many > 1").select(F.col("g").alias("again"))
+    shared = rows.select("raw").mapInArrow(count, "g long, many long").groupBy("g").agg(F.sum("many").alias("many")).filter("many > 1").select(F.col("g").alias("again"))
     shared = materialize(shared, "repeats-anchors")
     found = rows.mapInArrow(find, "g long, v long, doc long, unit long, row long, pack long")
     is_later = F.col("pack").bitwiseAND(F.lit(255)) == LATER
@@ -252,10 +253,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         wanted = _Side(side)
         for b in batches:
             out = []
-            for doc, t, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 ask = wanted.rows(unit, row)
                 if ask:
-                    raw = t.encode("utf-8", "surrogatepass")
                     for g, v, pack, hot in ask:
                         s, windows = pack >> 16, pack >> 8 & 255
                         where = (g, v, -(1 << 63) if doc is None else doc, unit, row)
@@ -308,8 +308,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         findings = _Side(spans)
         for b in batches:
             out = []
-            for doc, t, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
+            for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 gone: list[list[int]] = []
                 for a, e in sorted(findings.rows(unit, row)):
                     if gone and a <= gone[-1][1]:
