@@ -67,10 +67,12 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
     others go on at their relative rates: every row is kept, once.
 
     A null source is a source of its own; rows with equal or null keys are dealt in any order among themselves but each
-    has a place; an empty table gives an empty result; other columns pass through. Only the period's schedule (at most
+    has a place; an empty table gives an empty result; other columns pass through, though columns of the three added names
+    are replaced. Only the period's schedule (at most
     max(period, 2 x sources) rows, at most MAX_SOURCES sources) is planned on the driver and broadcast.
     """
     spark = docs.sparkSession
+    docs = docs.drop("block", "slot", "position")
     tag = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     rows = docs.withColumn("_tag", tag).withColumn("_part", F.pmod(F.conv(F.substring("_tag", 1, 4), 16, 10).cast("int"), F.lit(PARTS)))
     counts = materialize(rows.groupBy(F.col(source).alias("_src"), "_part").count(), "mix-counts")

@@ -15,8 +15,10 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: str = "size", order: tupl
     shard in which its first byte lies, so a shard's bytes differ from the target by less than its largest row. Byte
     prefix sums come from the totals of range partitions; only ids and sizes are shuffled, never the texts the caller
     leaves out. Repeated rows and repeated ids keep a place each (ties by the remaining ``order`` columns, then size).
-    An empty table gives an empty result. Other columns pass through.
+    An empty table gives an empty result. Other columns
+    pass through, though columns of the three added names are replaced.
     """
+    df = df.drop(*({"start", "shard", "slot"} - {size, *order}))
     keys = [F.col(c).asc_nulls_first() for c in (*order, size)]
     cut = range_partitioned(df, keys, "shard-cut")
     placed = prefix_sums(cut, {"start": F.col(size), "_row": F.lit(1)}, keys)

@@ -9,7 +9,7 @@ from kmerspark.llm.sharding import OP4_SQL, op4_query, shard_by_bytes
 
 
 def sized(spark, sizes):
-    return spark.createDataFrame([(i if isinstance(s, int) else s[0], s if isinstance(s, int) else s[1], "x") for i, s in enumerate(sizes)], "doc_id long, size long, shard_name string")
+    return spark.createDataFrame([(i if isinstance(s, int) else s[0], s if isinstance(s, int) else s[1], "x") for i, s in enumerate(sizes)], "doc_id long, size long, shard string")
 
 
 def brute(rows, n):
@@ -70,7 +70,7 @@ def test_integer_weights():
 def test_mix_keeps_every_row_and_the_shares(spark):
     r = random.Random(5)
     rows = [(i, r.choice(["hot"] * 6 + ["a", "b", None]), "t") for i in range(900)] + [(None, "a", "t"), (1, "hot", "t"), (1, "hot", "t")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, slot_ string")
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot string")
     for weights in (None, {"hot": 1, "a": 2, "b": 1, None: 1}, {"a": 3, "hot": 1}):
         got = mix_sources(df, weights, block=3).orderBy("position").collect()
         assert [x["position"] for x in got] == list(range(len(rows)))
