@@ -46,6 +46,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches in slices of so many rows: Python copies of one slice at a time bound a worker's memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def range_partitioned(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` plus ``_pid``: contiguous ranges of ``order``, frozen in a table so that every later reader sees the same cut."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

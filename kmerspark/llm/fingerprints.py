@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import read_table, sliced, text_or_empty
 
 SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW = 7  # bytes of the rolling register
@@ -186,7 +186,7 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-        for b in batches:
+        for b in sliced(batches):
             for p, k, t, ghost in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 fp = fingerprint(t.encode("utf-8", "surrogatepass"))
                 if held is not None and held[0] == p:

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read_table, text_or_empty
+from .common import materialize, new_path, read_table, sliced, text_or_empty
 from .suffixes import merged_blocks
 from .tokens import _filesystem
 
@@ -217,14 +217,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = placed(docs, key, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for _, some in _pieces(b, 0):
                 t, _, _, _, anchor, snippet = runs_of(some, length)
                 g, many = np.unique(anchor[first_in_text(t, anchor, snippet)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(many)], names=["g", "many"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids, units, places = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, some in _pieces(b, 1):
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = _Side(side)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 ask = wanted.rows(unit, row)
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findings = _Side(spans)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 gone: list[list[int]] = []
