@@ -21,9 +21,9 @@ GRAM = 40  # bytes of an anchor
 #: Documents of a unit, the piece of the input whose findings a task reads back from one folder.
 UNIT = 16_384
 #: Bytes worked on at once, so that the arrays stay in a core's cache; and bytes of snippets merged at once.
-PIECE, BUCKET = 1 << 18, 1 << 21
+PIECE, BUCKET = 1 << 18, 1 << 20
 #: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, grouped by its hash.
-MAX_VARIANTS = 50_000
+MAX_VARIANTS = 10_000
 #: In place of the anchor's offset: a run whose snippet comes earlier in the same text.
 LATER = 255
 _BASE = 0x9E3779B97F4A7C15
