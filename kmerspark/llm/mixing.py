@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix_sums, range_partitioned, read_table
 
-#: Slots in one period of the schedule; weights are rounded to multiples of one part in this many.
+#: Weights that repeat exactly after so many slots (or two a source) are planned for one period; all others over the whole stream.
 PERIOD = 1000
-#: The schedule of one period is planned on the driver, so the number of sources has a bound; more raises an error.
+#: A period is planned on the driver and a stream's plan holds a state a source, so the number of sources has a bound; more raises an error.
 MAX_SOURCES = 100_000
 #: Parts of each source that are numbered apart and joined by prefix sums, so that a hot source is no single task.
 PARTS = 256
@@ -34,28 +37,66 @@ def integer_weights(weights: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def pfair_period(weights: dict) -> list[tuple[object, int]]:
-    """One period of the schedule: (source, index of its block) for each slot.
+def exact_weights(weights: dict) -> dict:
+    """Weights as the least integers in exactly the same proportions."""
+    weights = {k: Fraction(v) for k, v in weights.items()}
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*(v.denominator for v in weights.values()))
+    whole = {k: int(v * scale) for k, v in weights.items()}
+    common = math.gcd(*whole.values())
+    return {k: v // common for k, v in whole.items()}
+
+
+def pfair_stream(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The schedule of so many blocks of each source: (number of the source, index of its block, slot), by slot.
 
     Block k (from 0) of a source with weight w = a / sum is released at floor(k / w) and due at ceil((k + 1) / w).
-    Each slot takes, among the released blocks, the one due first (ties by source). The weights fill the slots, so
-    every block meets its window and no prefix gives a source one block more or less than its share.
+    Each slot takes, among the released blocks, the one due first (ties by source); it stays empty if there is none. The
+    weights fill the slots at most, so every block meets its window and, until it ends, no source is ever one block or more
+    off its share. Only one block a source is held.
     """
-    total = sum(weights.values())
-    name = sorted(weights, key=lambda k: (k is None, str(k)))
-    release = lambda i, k: k * total // weights[name[i]]
-    due = lambda i, k: -(-(k + 1) * total // weights[name[i]])
-    waiting, ready, slots = [(0, i, 0) for i in range(len(name))], [], []
-    for t in range(total):
+    total = sum(weights)
+    waiting, ready, t = [(0, i, 0) for i in range(len(weights)) if blocks[i]], [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(i, k), i, k))
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
         d, i, k = heapq.heappop(ready)
         assert d > t, "a deadline was missed"
-        slots.append((name[i], k))
-        if k + 1 < weights[name[i]]:
-            heapq.heappush(waiting, (release(i, k + 1), i, k + 1))
-    return slots
+        yield i, k, t
+        t += 1
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
+
+
+def pfair_period(weights: dict) -> list[tuple[object, int]]:
+    """One period of the schedule: (source, index of its block) for each slot; all slots are filled."""
+    name = sorted(weights, key=lambda k: (k is None, str(k)))
+    shares = [weights[k] for k in name]
+    return [(name[i], k) for i, k, _ in pfair_stream(shares, shares)]
+
+
+def _stream_plan(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """(_i, _k, _slot) of every block of the stream, made in one task that holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["_i", "_k", "_slot"])
+
+        for b in batches:
+            held = []
+            for row in pfair_stream(weights, blocks) if b.num_rows else ():
+                held.append(row)
+                if len(held) == 50_000:
+                    yield batch(held)
+                    held = []
+            if held:
+                yield batch(held)
+
+    return materialize(spark.range(0, 1, 1, 1).mapInArrow(run, "_i long, _k long, _slot long"), "mix-plan")
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, source: str = "source", key: str = "doc_id", period: int = PERIOD) -> DataFrame:
@@ -64,12 +105,14 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
     Each source's rows are dealt in a fixed pseudo-random order (md5 of ``key``, then ``key``) into blocks of ``block``
     rows. ``weights`` maps sources to target weights (sources it lacks get the smallest one given); by default they are
     the sources' shares of the rows, so that all sources end together. A source that ends leaves its slots empty and the
-    others go on at their relative rates: every row is kept, once.
+    others go on at their relative rates: every row is kept, once. The weights are taken exactly: at every slot until it ends,
+    a source has less than one block more or less than its weight times the slots so far, however long the stream is.
 
     A null source is a source of its own; rows with equal or null keys are dealt in any order among themselves but each
     has a place; an empty table gives an empty result; other columns pass through, though columns of the three added names
-    are replaced. Only the period's schedule (at most
-    max(period, 2 x sources) rows, at most MAX_SOURCES sources) is planned on the driver and broadcast.
+    are replaced. Weights that repeat exactly after max(period, 2 x sources) slots or fewer are planned for one
+    period on the driver, which is broadcast; others over the whole stream, block by block in one task, which is joined. At
+    most MAX_SOURCES sources.
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "position")
@@ -81,9 +124,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if not sizes:
         return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")])
-    shares = integer_weights({k: weights.get(k, min(weights.values())) for k in sizes} if weights else sizes, period)
-    total = sum(shares.values())
-    plan = spark.createDataFrame([(s, k, t, shares[s]) for t, (s, k) in enumerate(pfair_period(shares))], f"_src {docs.schema[source].dataType.simpleString()}, _k long, _slot long, _share long")
+    shares = exact_weights({k: weights.get(k, min(weights.values())) for k in sizes} if weights else sizes)
+    total, name = sum(shares.values()), sorted(shares, key=lambda k: (k is None, str(k)))
+    number = {k: i for i, k in enumerate(name)}
 
     before = Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_src", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
@@ -92,21 +135,29 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
     ranked = ranked.join(bases, ranked[source].eqNullSafe(bases["_src"]) & (ranked["_part"] == bases["_part"])).drop(bases["_part"]).drop("_src")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base")).withColumn("block", F.floor(F.col("_rank") / block))
 
-    share = spark.createDataFrame(list(shares.items()), f"_src {docs.schema[source].dataType.simpleString()}, _a long")
+    periodic = total <= max(period, 2 * len(shares))
+    share = spark.createDataFrame([(k, number[k], shares[k] if periodic else None) for k in name], f"_src {docs.schema[source].dataType.simpleString()}, _i long, _a long")
     placed = ranked.join(F.broadcast(share), ranked[source].eqNullSafe(share["_src"])).drop("_src")
-    placed = placed.withColumn("_k", F.col("block") % F.col("_a"))
-    plan = plan.drop("_share").withColumnRenamed("_k", "_k2")
-    placed = placed.join(F.broadcast(plan), placed[source].eqNullSafe(plan["_src"]) & (placed["_k"] == plan["_k2"]))
-    placed = placed.withColumn("slot", F.expr("block div _a") * total + F.col("_slot"))
-    placed = placed.drop("_src", "_k", "_k2", "_slot", "_a", "_base", "_part", "_tag")
+    if periodic:
+        plan = F.broadcast(spark.createDataFrame([(number[s], k, t) for t, (s, k) in enumerate(pfair_period(shares))], "_i long, _k long, _slot long"))
+        placed = placed.withColumn("_k", F.col("block") % F.col("_a")).join(plan, ["_i", "_k"])
+        placed = placed.withColumn("slot", F.expr("block div _a") * total + F.col("_slot"))
+    else:
+        plan = _stream_plan(spark, [shares[k] for k in name], [-(-sizes[k] // block) for k in name])
+        placed = placed.withColumn("_k", F.col("block")).join(plan, ["_i", "_k"]).withColumn("slot", F.col("_slot"))
+    placed = placed.drop("_i", "_k", "_slot", "_a", "_base", "_part", "_tag")
     order = [F.col("slot"), F.col("_rank")]
     out = prefix_sums(range_partitioned(placed, order, "mix-order"), {"position": F.lit(1)}, order)
     return out.drop("_pid", "_rank")
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, mixed so that each source's weight is the square root of its share (temperature 2)."""
+    """All documents, mixed so that each source's weight is the square root of its share (temperature 2).
+
+    The query's SQL defines the target weights as these roots rounded to whole slots of PERIOD, so they are rounded here,
+    before the mixing, which then keeps to them exactly.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     sizes = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
     weights = {r[0]: Fraction(int(round(r[1] ** 0.5 * 1000))) for r in sizes}
-    return mix_sources(docs, weights)
+    return mix_sources(docs, integer_weights(weights) if weights else None)

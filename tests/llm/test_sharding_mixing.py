@@ -1,10 +1,11 @@
 import random
 import zlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from kmerspark.llm.mixing import integer_weights, mix_sources, pfair_period
+from kmerspark.llm.mixing import integer_weights, mix_sources, pfair_period, pfair_stream
 from kmerspark.llm.sharding import OP4_SQL, op4_query, shard_by_bytes
 
 
@@ -91,3 +92,29 @@ def test_mix_keeps_every_row_and_the_shares(spark):
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string")
     assert mix_sources(df).collect() == [] and {"block", "slot", "position"} <= set(mix_sources(df).columns)
+
+
+@pytest.mark.parametrize("weights", [{"a": 335, "b": 9665}, {"a": 2, "b": 9998}, {"a": 14, "b": 33, "c": 9953}, {i: 2 * i + 1 for i in range(60)}])
+def test_stream_keeps_to_the_given_weights(weights):
+    w, total = list(weights.values()), sum(weights.values())
+    have, n = [0] * len(w), 0
+    for i, k, t in pfair_stream(w, [3 * x for x in w]):
+        assert (k, t) == (have[i], n)
+        have[i], n = have[i] + 1, n + 1
+        assert all(abs(h * total - x * n) < total for h, x in zip(have, w, strict=True))
+    assert n == 3 * total
+    got = [t for i, k, t in pfair_stream([1, 9], [4, 1])]  # the slots of a source that ended stay empty
+    assert got[0] == 0 and len(got) == 5 and all(10 * k <= t < 10 * (k + 1) for i, k, t in pfair_stream([1, 9], [4, 1]) if i == 0)
+
+
+def test_mix_keeps_to_shares_that_a_period_does_not_divide(spark):
+    sizes = {"rare": 5, "odd": 34, "third": 804, "rest": 23158}  # 0.0002, 0.0014, 0.0335 of the rows
+    total = sum(sizes.values())
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    for weights in (None, {s: Fraction(n, total) for s, n in sizes.items()}):
+        rows = mix_sources(docs, weights, block=1).select("slot", "source", "position").orderBy("position").collect()
+        assert [x["position"] for x in rows] == list(range(total))
+        have = dict.fromkeys(sizes, 0)
+        for x in rows:
+            have[x["source"]] += 1
+            assert all(abs(have[s] * total - sizes[s] * (x["slot"] + 1)) < total for s in sizes)
