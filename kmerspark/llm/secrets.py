@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,45 @@ SYMBOLS = {
     "random_base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "random_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Excess chi-square per character of prose over the alphabet: m * sum(p^2) - 1 with the repeat rate of natural letters.
-PROSE_EXCESS = {"random_hex": 16 * 0.17 - 1, "random_base32": 32 * 0.066 - 1, "random_base64": 64 * 0.066 - 1}
-#: Upper ends of the length classes within which false discoveries are controlled.
+#: Costs of a letter after each letter, a row a letter, and of a first letter, in thirds of a bit as base-36 digits: counted on
+#: prose in four languages and on program text, mixed with the letters' own frequencies and with equal ones.
+PAIRS = (
+    "HHDFEMIIDPMCE7HHPBB8DLLMLQ CMIJ6MNJFFP6MHBLQGHICPPPCP BOJKAMN6AQEDLH8MQFIBHPOPLQ BIKH5LMF9QPGMFAMQFEEGPKOLQ BKFCDHLHDQOCI8GIL7ACILLHLM ALJJBELI7ROEMG7KQAHDDOOPKO "
+    "BIKL5MHDCRNEICEKQCBDFMKPNM 8ILL4NLECRNGMECLQFECJNJPNN GJEHBFHJIQOEG69JOFBALKOLOL 5OLL6NNJGQMKNHAJQJCIDPLPMQ CNKI3LHJCQPHMFILQHDHGOEPNQ BMLG6BMJAQPBMHDLQIEFFNOPAQ "
+    "8HMJ5MNJBROHFHCAQIFHGPOPMQ CIF99JAFEPLGLEBKOGD8IKKPMO HJGFFCKJFPLGF5GGP8EEALJNOP 7OLJ8DNHDRMCNHAEQAGBFOOPEQ IOMKGMNJJRQJNHJMPIII1OPPOQ BIIH5LHGCQLHICBLPDDCHLKPIO "
+    "FLCK7MKACOMHJGEGNHD6FOLPJQ CLJK9LN58ROIMGCKQCFEFOMOHJ EHIJ7IKIEROCF9FENACBLMNCOO 7NKL4MNJ8RPKMHDMQIJILPOPNQ 9OMJCMN48RPJNFDNQDHILPMPOQ BI9H9HNJCRPGGHEBKFI6LJPJHP "
+    "EIJIALGEDQPDHCC8QEA9LNEPOO CHHK7MIHDNKHIHFKMHEF4KPPML"
+)
+FIRST = "CJGF8HHCCNLEHACHMBDBFLKKIM"
+#: Costs in bits between kinds of characters (upper, lower, digit, other; at the start first): each row's shares add up to one.
+KIND_SHARES = {"": (0.3, 0.5, 0.1, 0.1), "upper": (0.5, 0.38, 0.05, 0.07), "lower": (0.07, 0.82, 0.04, 0.07), "digit": (0.05, 0.1, 0.8, 0.05), "other": (0.25, 0.45, 0.2, 0.1)}
+#: Upper ends of the length classes within which, for each encoding, false discoveries are controlled.
 LENGTH_CLASSES = (24, 32, 48, 96)
 #: Log p-values are counted in bins of this width, up to MAX_BIN of them, so that ranks over the corpus need no sort.
 BIN, MAX_BIN = 0.05, 1200
 
 
+def _prose_costs() -> list[str]:
+    """Cost of each character after nothing (first row) and after each of the 54 characters, in eighths of a bit as code points from 32.
+
+    Characters: A to Z, a to z, a digit, any other. A character costs the change of kind, then the letter (after a letter by
+    their pair), the digit (of ten) or the sign (of four).
+    """
+    kinds = ["upper"] * 26 + ["lower"] * 26 + ["digit", "other"]
+    pairs = PAIRS.split()
+    out = []
+    for i in range(-1, 54):
+        row, share = "", KIND_SHARES[kinds[i] if i >= 0 else ""]
+        for j, kind in enumerate(kinds):
+            cost = -math.log2(share[("upper", "lower", "digit", "other").index(kind)])
+            # a capital after a small letter begins a word
+            letters = pairs[i % 26] if 0 <= i < 52 and not (i >= 26 and j < 26) else FIRST
+            cost += {"digit": math.log2(10), "other": 2.0}.get(kind) or int(letters[j % 26], 36) / 3
+            row += chr(32 + round(8 * cost))
+        out.append(row)
+    return out
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, kind, end, token), leftmost and non-overlapping, in code points.
 
@@ -90,18 +123,28 @@ def _encoding(token: Column) -> Column:
     )
 
 
+def _prose_bits(plain: Column) -> Column:
+    """Minus the binary log of the token's chance as prose or identifiers."""
+    rows = F.array(*[F.lit(x) for x in _prose_costs()])
+    kinds = F.transform(F.split(plain, ""), lambda c: F.when(c.between("A", "Z"), F.ascii(c) - 64).when(c.between("a", "z"), F.ascii(c) - 70).when(c.between("0", "9"), 53).otherwise(54))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("bits"))
+    step = lambda acc, k: F.struct(k.alias("at"), (acc["bits"] + (F.ascii(F.substring(F.element_at(rows, acc["at"] + 1), k, F.lit(1))) - 32) / 8.0).alias("bits"))
+    return F.aggregate(kinds, zero, step)["bits"]
+
+
 def battery(token: Column, encoding: Column) -> Column:
     """Struct of ``p_random`` and ``log10_prose`` for a token read in an encoding.
 
     ``p_random`` joins three tests of randomness by Fisher's method: chi-square for equal use of the alphabet
     (Wilson-Hilferty), the number of runs above and below its middle, and the lag-one serial correlation.
-    ``log10_prose`` is the log p-value of the chi-square under prose, whose expected excess grows with the length: short
-    words cannot reach small values, long random strings do.
+    ``log10_prose`` bounds the log p-value under prose and identifiers by the likelihood ratio: the chance of the token under a
+    model of letter pairs, case, digits and signs, over its chance as equally likely symbols of the encoding. (Under
+    the model a ratio below p has a chance below p.)
     """
     m = F.when(encoding == "random_hex", 16.0).when(encoding == "random_base32", 32.0).otherwise(64.0)
-    excess = F.when(encoding == "random_hex", PROSE_EXCESS["random_hex"]).when(encoding == "random_base32", PROSE_EXCESS["random_base32"]).otherwise(PROSE_EXCESS["random_base64"])
     alphabet = F.when(encoding == "random_hex", SYMBOLS["random_hex"]).when(encoding == "random_base32", SYMBOLS["random_base32"]).otherwise(SYMBOLS["random_base64"])
-    body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    plain = F.regexp_replace(token, "=+$", "")
+    body = F.translate(plain, "-_", "+/")
     body = F.when(encoding == "random_hex", F.lower(body)).otherwise(body)
     chars = F.split(body, "")
 
@@ -123,23 +166,25 @@ def battery(token: Column, encoding: Column) -> Column:
         cross = F.aggregate(F.zip_with(prev, cur, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, b: a + b)
         square = F.greatest(F.aggregate(v, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)), F.lit(1e-9))
         z_serial = (cross / square + 1 / n) * F.sqrt(n)
-        z_prose = (chi - df - n * x["excess"]) / F.sqrt(2 * (df + 2 * n * x["excess"]))
         fisher = -2 * (F.log(F.greatest(_phi(-wilson), F.lit(1e-12))) + F.log(_two_sided(z_runs)) + F.log(_two_sided(z_serial)))
         half = fisher / 2
         return F.struct(
             (F.exp(-half) * (1 + half + half * half / 2)).alias("p_random"),
-            F.log10(F.greatest(_phi(z_prose), F.lit(1e-300))).alias("log10_prose"),
+            F.least((n * F.log2(x["m"]) - x["prose"]) * math.log10(2), F.lit(0.0)).alias("log10_prose"),
         )
 
     values = F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1)
-    boxed = F.array(F.struct(values.alias("v"), m.alias("m"), F.lit(excess).alias("excess")))
+    boxed = F.array(F.struct(values.alias("v"), m.alias("m"), _prose_bits(plain).alias("prose")))
     return F.transform(boxed, tests)[0]
 
 
-def _length_class(n: Column) -> Column:
+def _class(kind: Column, n: Column) -> Column:
+    """Number of the encoding and length class."""
     out = F.lit(len(LENGTH_CLASSES))
     for i, top in reversed(list(enumerate(LENGTH_CLASSES))):
         out = F.when(n <= top, i).otherwise(out)
+    for i, k in enumerate(RANDOM_KINDS[1:], 1):
+        out = F.when(kind == k, out + i * (len(LENGTH_CLASSES) + 1)).otherwise(out)
     return out
 
 
@@ -148,7 +193,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, p_random:
 
     Base spans are the fixed patterns. Added spans are runs of encoding characters, outside of base spans, that the
     battery takes for random (``p_random``) and whose likeness to prose is rejected at false-discovery rate ``q``
-    within their length class, ranks taken over all candidates of all documents (Benjamini-Hochberg on binned log
+    within their encoding and length class, ranks taken over all candidates of all documents (Benjamini-Hochberg on binned log
     p-values, each rounded up to its bin's end, so the rate holds). A null text counts as empty and has no spans;
     repeated rows each keep theirs; an empty table gives an empty result; other columns pass through.
     """
@@ -157,7 +202,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, p_random:
     clear = F.filter("_found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tested = F.transform(
         F.filter(F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), _encoding(s["token"]).alias("kind"))), lambda s: s["kind"].isNotNull()),
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), _length_class(s["end"] - s["start"]).alias("cls"), battery(s["token"], s["kind"]).alias("b")),
+        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), _class(s["kind"], s["end"] - s["start"]).alias("cls"), battery(s["token"], s["kind"]).alias("b")),
     )
     binned = F.transform(
         tested,
@@ -174,7 +219,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, p_random:
 
 
 def _cuts(found: DataFrame, q: float) -> Column:
-    """Map from length class to the lowest bin that Benjamini-Hochberg accepts; a row for each class and bin is all that is gathered."""
+    """Map from encoding and length class to the lowest bin that Benjamini-Hochberg accepts; a row for each class and bin is all that is gathered."""
     counts = found.select(F.explode("_cands").alias("c")).groupBy("c.cls", "c.bin").count()
     by_cls = Window.partitionBy("cls")
     ranked = counts.select("cls", "bin", F.sum("count").over(by_cls.orderBy(F.desc("bin"))).alias("rank"), F.sum("count").over(by_cls).alias("m"))

@@ -47,6 +47,22 @@ def test_random_strings_are_found_and_prose_is_not(spark):
     assert not any(got[100 + i] for i in range(len(words)))
 
 
+def test_short_random_strings_among_many_identifiers(spark):
+    r = random.Random(6)
+    words = "connection timeout buffer handler request response index table parser encoder stream socket remote default update version config manager thread factory".split()
+    filler = ["_".join(r.choice(words) for _ in range(4)) + str(r.randrange(10)) for _ in range(4000)] + ["/".join(r.choice(words) for _ in range(4)) + "/v2" for _ in range(4000)]
+    filler += ["".join(r.choice(words).upper() for _ in range(4)) + r.choice("234567") for _ in range(4000)] + [f"2024{r.randrange(10**16):016d}{r.choice('ABCDEF')}" for _ in range(4000)]
+    alphabets = {"random_hex": "0123456789ABCDEF", "random_base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "random_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    keys = [(k, "".join(r.choice(a) for _ in range(n - 1)) + r.choice("234567")) for k, a in alphabets.items() for n in (20, 24, 26, 32) for _ in range(8)]
+    assert len(keys) < 0.01 * len(filler)
+    rows = [(i, f"see {k} there") for i, (_, k) in enumerate(keys)] + [(1000 + i, " ".join(filler[i::400])) for i in range(400)]
+    got = {x["doc_id"]: [(s["kind"], s["token"]) for s in x["spans"] if s["kind"].startswith("random")] for x in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in alphabets:
+        mine = [i for i, k in enumerate(keys) if k[0] == kind]
+        assert sum(keys[i] in got[i] for i in mine) >= 0.9 * len(mine), kind
+    assert sum(len(got[1000 + i]) for i in range(400)) <= 2
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert scan_secrets(df).collect() == []
