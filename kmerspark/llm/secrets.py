@@ -17,9 +17,12 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 characters or more
 
 #: Kinds that the test battery adds, by inferred encoding.
 RANDOM_KINDS = ("random_hex", "random_base32", "random_base64")
-#: A candidate is a run of encoding characters at least this long.
+#: A candidate is a run of encoding characters at least this long; '=' is padding at its end and separates runs elsewhere.
 MIN_RUN = 20
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}"
+#: A run with signs of both base64 alphabets is cut into parts of each.
+PLAIN_PART = rf"[A-Za-z0-9+/]{{{MIN_RUN},}}={{0,2}}"
+URL_PART = rf"[A-Za-z0-9_-]{{{MIN_RUN},}}={{0,2}}"
 #: Symbols of each encoding in order of value; upper-case hex is read as lower case, URL-safe base64 as the plain one.
 SYMBOLS = {
     "random_hex": "0123456789abcdef",
@@ -84,6 +87,19 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int,token:string>>"))
 
 
+def _candidates(text: Column) -> Column:
+    """Runs of one alphabet; of runs that mix both alphabets' signs, the parts in either, which can overlap."""
+
+    def parts(s: Column) -> Column:
+        token = s["token"]
+        mixed = token.rlike("[+/]") & token.rlike("[_-]")
+        both = F.concat(_spans(token, PLAIN_PART, "candidate"), _spans(token, URL_PART, "candidate"))
+        moved = F.transform(both, lambda x: F.struct((x["start"] + s["start"]).alias("start"), x["kind"].alias("kind"), (x["end"] + s["start"]).alias("end"), x["token"].alias("token")))
+        return F.when(mixed, F.array_distinct(moved)).otherwise(F.array(s))
+
+    return F.flatten(F.transform(_spans(text, CANDIDATE, "candidate"), parts))
+
+
 def base_spans(text: Column) -> Column:
     """The three fixed kinds, by start, then kind as listed."""
     assign = _spans(text, ASSIGN, "assign")
@@ -116,7 +132,7 @@ def _two_sided(z: Column) -> Column:
 def _encoding(token: Column) -> Column:
     body = F.regexp_replace(token, "=+$", "")
     return (
-        F.when(body.rlike("^[0-9]+$") | ~body.rlike("[0-9]"), None)  # plain numbers and plain words are no encoded bytes
+        F.when(body.rlike("^[0-9]+$"), None)  # plain numbers are no encoded bytes
         .when(body.rlike("^[0-9a-f]+$") | body.rlike("^[0-9A-F]+$"), "random_hex")
         .when(body.rlike("^[A-Z2-7]+$"), "random_base32")
         .when(body.rlike("^[A-Za-z0-9+/]+$") | body.rlike("^[A-Za-z0-9_-]+$"), "random_base64")
@@ -191,14 +207,15 @@ def _class(kind: Column, n: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, p_random: float = 0.001, keep_text: bool = True) -> DataFrame:
     """Add ``base`` and ``spans``: arrays of (start, kind, end, token), starts in code points, ends exclusive.
 
-    Base spans are the fixed patterns. Added spans are runs of encoding characters, outside of base spans, that the
+    Base spans are the fixed patterns. Added spans are runs of encoding characters (of runs that mix the base64 alphabets,
+    parts in one of them), outside of base spans, that the
     battery takes for random (``p_random``) and whose likeness to prose is rejected at false-discovery rate ``q``
     within their encoding and length class, ranks taken over all candidates of all documents (Benjamini-Hochberg on binned log
     p-values, each rounded up to its bin's end, so the rate holds). A null text counts as empty and has no spans;
     repeated rows each keep theirs; an empty table gives an empty result; other columns pass through.
     """
     docs = docs.withColumn("_text", text_or_empty(text))
-    base = docs.withColumn("base", base_spans(F.col("_text"))).withColumn("_found", _spans(F.col("_text"), CANDIDATE, "candidate"))
+    base = docs.withColumn("base", base_spans(F.col("_text"))).withColumn("_found", _candidates(F.col("_text")))
     clear = F.filter("_found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tested = F.transform(
         F.filter(F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), _encoding(s["token"]).alias("kind"))), lambda s: s["kind"].isNotNull()),
@@ -214,8 +231,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, p_random:
     found = materialize(base.withColumn("_cands", binned).drop("_found", "_text", *([] if keep_text else [text])), "secret-candidates")
     cut = _cuts(found, q)
     passes = lambda s: (s["p_random"] >= p_random) & (s["bin"] >= F.coalesce(cut[s["cls"]], F.lit(MAX_BIN + 1)))
-    added = F.transform(F.filter("_cands", passes), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token")))
-    return found.withColumn("spans", _ordered(F.concat("base", added))).drop("_cands")
+    # of parts of a mixed run inside one another the longest; parts that overlap otherwise both stay, so that no end of a secret is lost
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (s["end"] - s["start"] < o["end"] - o["start"])
+    hits = F.col("_hits")
+    found = found.withColumn("_hits", F.filter("_cands", passes))
+    added = F.transform(F.filter(hits, lambda s: ~F.exists(hits, lambda o: inside(s, o))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token")))
+    return found.withColumn("spans", _ordered(F.concat("base", added))).drop("_cands", "_hits")
 
 
 def _cuts(found: DataFrame, q: float) -> Column:

@@ -63,6 +63,20 @@ def test_short_random_strings_among_many_identifiers(spark):
     assert sum(len(got[1000 + i]) for i in range(400)) <= 2
 
 
+def test_tokens_after_names_in_paths_and_without_digits(spark):
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    make = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    plain, url, bare = make(38, letters + "0123456789") + "/+", make(38, letters + "0123456789") + "_-", make(32, letters)
+    texts = {1: (f"aws_access_key={plain}", plain), 2: (f"https://x.org/a?sig={url}&v=2", url), 3: (f"AccountKey={plain}==;Suffix=core", plain + "=="), 4: (f"a/b/{url}", url), 5: (f"my_file-name_{plain}", plain), 6: (f"see {bare} here", bare)}
+    words = [(100 + i, "internationalization counterrevolutionaries config/manager/default_handler-table name=understandability") for i in range(20)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()] + words, "doc_id long, text string")
+    got = {x["doc_id"]: [s["token"] for s in x["spans"] if s["kind"].startswith("random")] for x in scan_secrets(df).collect()}
+    assert all(k in got[i] for i, (_, k) in texts.items())
+    assert all(got[i] == [texts[i][1]] for i in (1, 2, 3, 6))
+    assert not any(got[i] for i, _ in words)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert scan_secrets(df).collect() == []
