@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, read_table, sliced, text_or_empty
@@ -22,7 +22,7 @@ GRAM = 40  # bytes of an anchor
 UNIT = 16_384
 #: Bytes worked on at once, so that the arrays stay in a core's cache; and bytes of snippets merged at once.
 PIECE, BUCKET = 1 << 18, 1 << 20
-#: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, grouped by its hash.
+#: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, named by its hash.
 MAX_VARIANTS = 10_000
 #: In place of the anchor's offset: a run whose snippet comes earlier in the same text.
 LATER = 255
@@ -205,7 +205,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
        at once.
     3. The variants of anchors with more than one are merged: suffix orders by shard, interleaved by refinement
        (see :mod:`suffixes`). Blocks of equal strings of ``length`` bytes give each window its first place. An anchor of
-       over MAX_VARIANTS variants has its windows merged apart, by their hash, so no group grows with the input.
+       over MAX_VARIANTS variants has its windows named by a 128-bit hash instead: the first place of each is a minimum,
+       taken in part before the shuffle, and joined to the others, so no task holds a group.
     4. All of a variant's places but the first lose all windows; the first loses those that start earlier elsewhere.
 
     Texts are never shuffled: findings are written by input unit and read back beside the texts. Null and empty texts,
@@ -254,31 +255,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                ask = wanted.rows(unit, row)
-                if ask:
-                    for g, v, pack, hot in ask:
+                for g, v, pack, hot in wanted.rows(unit, row):
+                    if not hot:
                         s, windows = pack >> 16, pack >> 8 & 255
-                        where = (g, v, -(1 << 63) if doc is None else doc, unit, row)
-                        if not hot:
-                            out.append((g, *where, s, 0, raw[s : s + windows + length - 1]))
-                            continue
-                        for i in range(windows):
-                            w = raw[s + i : s + i + length]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), *where, s + i, i, w))
+                        out.append((g, v, -(1 << 63) if doc is None else doc, unit, row, s, raw[s : s + windows + length - 1]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["k", "g", "v", "doc", "unit", "row", "start", "base", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["g", "v", "doc", "unit", "row", "start", "bytes"])
 
-    snippets = rows.mapInArrow(cut, "k long, g long, v long, doc long, unit long, row long, start long, base long, bytes binary")
-    snippets = snippets.repartition(n, "k").sortWithinPartitions("k")
+    def cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Side(side)
+        for b in sliced(batches):
+            out = []
+            for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                for g, v, pack, hot in wanted.rows(unit, row):
+                    s = pack >> 16
+                    for i in range(pack >> 8 & 255) if hot else ():
+                        name = hashlib.blake2b(raw[s + i : s + i + length], digest_size=16).digest()
+                        out.append((name, g, v, -(1 << 63) if doc is None else doc, unit, row, s + i))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["name", "g", "v", "doc", "unit", "row", "start"])
+
+    snippets = rows.mapInArrow(cut, "g long, v long, doc long, unit long, row long, start long, bytes binary")
+    snippets = snippets.repartition(n, "g").sortWithinPartitions("g")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def result() -> pa.RecordBatch:
-            rank = {d: i for i, d in enumerate(sorted({x[3:6] for x in held}))}
-            ranges = owned_ranges([(rank[x[3:6]], x[6], x[8]) for x in held], length)
-            keep = [(x[1], x[2], [x[7] + i for i in r]) for x, r in zip(held, ranges, strict=True) if r]
+            rank = {d: i for i, d in enumerate(sorted({x[2:5] for x in held}))}
+            ranges = owned_ranges([(rank[x[2:5]], x[5], x[6]) for x in held], length)
+            keep = [(x[0], x[1], r) for x, r in zip(held, ranges, strict=True) if r]
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], names=["g", "v", "ranges"])
 
         for b in batches:
@@ -287,7 +295,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield result()
                     held, size = [], 0
                 held.append(x)
-                size += len(x[8])
+                size += len(x[6])
                 last = x[0]
         if held:
             yield result()
@@ -302,7 +310,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     heads = variants.select("g", "v", F.col("unit").alias("fu"), F.col("row").alias("fr"), F.col("pack").alias("fp"))
     rest = places.join(heads, ["g", "v"]).filter("NOT (unit = fu AND row = fr AND pack = fp)").select("unit", "row", start.alias("a"), (start + windows + (length - 1)).alias("b"))
     again = found.filter(is_later).select("unit", "row", start.alias("a"), (start + windows + (length - 1)).alias("b"))
-    spans = _by_unit(lost.unionByName(rest).unionByName(again), "repeats-spans")
+    spans = lost.unionByName(rest).unionByName(again)
+    if several.filter("hot").limit(1).count():
+        hot = materialize(rows.mapInArrow(cut_hot, "name binary, g long, v long, doc long, unit long, row long, start long"), "repeats-windows")
+        heads = hot.groupBy("name").agg(F.min(F.struct("doc", "unit", "row", "start")).alias("head"), F.count(F.lit(1)).alias("many"))
+        heads = materialize(heads.filter("many > 1").select("name", "head"), "repeats-heads")
+        later = hot.join(heads, "name").filter(F.struct("doc", "unit", "row", "start") != F.col("head"))
+        each = Window.partitionBy("g", "v").orderBy("start")  # the windows of one run, under 256
+        later = later.withColumn("island", F.col("start") - F.row_number().over(each)).groupBy("g", "v", "unit", "row", "island")
+        later = later.agg(F.min("start").alias("a"), (F.max("start") + length).alias("b"))
+        spans = spans.unionByName(later.select("unit", "row", "a", "b"))
+    spans = _by_unit(spans, "repeats-spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findings = _Side(spans)

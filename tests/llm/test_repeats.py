@@ -106,3 +106,22 @@ def test_transforms_merge_to_the_same_blocks():
         groups.setdefault(b, set()).add(int(begins[k]) + i)
     assert [groups[b] for b in sorted(groups)] == [set(x.tolist()) for x in np.split(plain, starts[1:])]
     assert [strings[k][i : i + 100] for _, (k, i) in got] == sorted(strings[k][i : i + 100] for _, (k, i) in got)
+
+
+def test_windows_of_a_hot_anchor_are_minima_before_they_are_joined(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(repeats, "MAX_VARIANTS", 20)
+    frames, write = {}, repeats.materialize
+
+    def kept(df, name):
+        frames[name] = write(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(repeats, "materialize", kept)
+    r = random.Random(9)
+    passage = text(r, 160)
+    texts = [text(r, 150) + passage + text(r, 150) for _ in range(200)]
+    got = {x["doc_id"]: x for x in remove_repeats(docs_of(texts)).collect()}
+    for i, e in enumerate(brute(texts)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == e
+    windows, heads = frames["repeats-windows"], frames["repeats-heads"]
+    assert 61 <= heads.count() == heads.select("name").distinct().count() < windows.count() / 20
