@@ -6,12 +6,12 @@ import heapq
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums, range_partitioned, read_table
+from .common import materialize, new_path, prefix_sums, range_partitioned, read_table
 
 #: Weights that repeat exactly after so many slots (or two a source) are planned for one period; all others over the whole stream.
 PERIOD = 1000
@@ -80,23 +80,11 @@ def pfair_period(weights: dict) -> list[tuple[object, int]]:
 
 
 def _stream_plan(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
-    """(_i, _k, _slot) of every block of the stream, made in one task that holds a batch at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["_i", "_k", "_slot"])
-
-        for b in batches:
-            held = []
-            for row in pfair_stream(weights, blocks) if b.num_rows else ():
-                held.append(row)
-                if len(held) == 50_000:
-                    yield batch(held)
-                    held = []
-            if held:
-                yield batch(held)
-
-    return materialize(spark.range(0, 1, 1, 1).mapInArrow(run, "_i long, _k long, _slot long"), "mix-plan")
+    """(_i, _k, _slot) of every block of the stream, written by the driver in pieces, of which it holds one at a time."""
+    path, stream, schema = new_path(spark, "mix-plan"), pfair_stream(weights, blocks), "_i long, _k long, _slot long"
+    while piece := list(islice(stream, 100_000)):
+        spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, source: str = "source", key: str = "doc_id", period: int = PERIOD) -> DataFrame:
@@ -111,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
     A null source is a source of its own; rows with equal or null keys are dealt in any order among themselves but each
     has a place; an empty table gives an empty result; other columns pass through, though columns of the three added names
     are replaced. Weights that repeat exactly after max(period, 2 x sources) slots or fewer are planned for one
-    period on the driver, which is broadcast; others over the whole stream, block by block in one task, which is joined. At
+    period on the driver, which is broadcast; others over the whole stream, block by block on the driver, written in pieces and joined. At
     most MAX_SOURCES sources.
     """
     spark = docs.sparkSession
