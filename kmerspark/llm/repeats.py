@@ -1,4 +1,4 @@
-"""Exact removal of repeated passages by merging the suffix orders of shards."""
+"""Exact removal of repeated passages by merging the Burrows-Wheeler transforms of shards."""
 
 from __future__ import annotations
 
@@ -8,22 +8,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, read_table, sliced, text_or_empty
-from .suffixes import merged_blocks
+from .suffixes import Transform, merged_transforms
 from .tokens import _filesystem
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor
-#: Documents of a unit, the piece of the input whose findings a task reads back from one folder.
+#: Documents of a unit, the piece of the input whose findings lie together, in the order of its rows.
 UNIT = 16_384
-#: Bytes worked on at once, so that the arrays stay in a core's cache; and bytes of snippets merged at once.
-PIECE, BUCKET = 1 << 18, 1 << 20
+#: Bytes worked on at once, so that the arrays stay in a core's cache; bytes of snippets merged at once, and of a shard of them.
+PIECE, BUCKET, SHARD = 1 << 18, 1 << 20, 1 << 18
 #: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, named by its hash.
-MAX_VARIANTS = 10_000
+MAX_VARIANTS = 1_000
 #: In place of the anchor's offset: a run whose snippet comes earlier in the same text.
 LATER = 255
 _BASE = 0x9E3779B97F4A7C15
@@ -130,54 +131,86 @@ def _pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[t
         yield first, held
 
 
-def owned_ranges(snippets: list[tuple], length: int = LENGTH) -> list[list[int]]:
-    """For each (document rank, start, bytes): [first, last, ...] window ranges whose string starts earlier in another snippet."""
-    ends = np.cumsum([len(s[2]) for s in snippets])
-    data = np.frombuffer(b"".join(s[2] for s in snippets), np.uint8)
-    order, blocks, _ = merged_blocks(data, ends, length)
-    begins = np.concatenate(([0], ends[:-1]))
-    which = np.searchsorted(ends, order, side="right")
-    keys = np.array([s[0] for s in snippets], np.int64)[which] << 32 | np.array([s[1] for s in snippets], np.int64)[which] + order - begins[which]
-    least = np.minimum.reduceat(keys, blocks)
-    later = keys != np.repeat(least, np.diff(np.append(blocks, len(order))))
-    flags = np.zeros(len(data) + 1, np.int8)
-    flags[order[later]] = 1
-    out: list[list[int]] = [[] for _ in snippets]
+def _shards(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[list[Transform], np.ndarray]:
+    """Transforms of shards of about SHARD bytes of whole strings, and the number of each shard's first string."""
+    firsts, at = [0], 0
+    for i in np.flatnonzero(np.diff(ends // SHARD)).tolist():
+        firsts.append(i + 1)
+    out = []
+    for i, j in zip(firsts, [*firsts[1:], len(ends)], strict=True):
+        out.append(Transform(data[at : ends[j - 1]], ends[i:j] - at, length))
+        at = int(ends[j - 1])
+    return out, np.array(firsts)
+
+
+def owned_ranges(doc: np.ndarray, start: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Ranges of windows whose string starts earlier in another snippet: (snippet, first window, last window).
+
+    Snippets are given by the rank of their document, their start in it, and their bytes (``data`` cut at ``ends``).
+    """
+    shards, firsts = _shards(data, ends, length)
+    shard, string, into, new = merged_transforms(shards, length)
+    which = firsts[shard] + string
+    keys = doc[which] << 32 | start[which] + into
+    blocks = np.flatnonzero(new)
+    least = np.minimum.reduceat(keys, blocks) if len(keys) else keys
+    later = keys != np.repeat(least, np.diff(np.append(blocks, len(keys))))
+    begins = ends - np.diff(ends, prepend=0)
+    flags = np.zeros(len(data) + 1, np.int8)  # a snippet's last bytes begin no window, so runs don't cross snippets
+    flags[(begins[which] + into)[later]] = 1
     change = np.diff(flags, prepend=0)
-    for a, b in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True):
-        s = int(np.searchsorted(ends, a, side="right"))
-        out[s] += [a - int(begins[s]), b - 1 - int(begins[s])]
-    return out
+    a, b = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    owner = np.searchsorted(ends, a, side="right")
+    return owner, a - begins[owner], b - 1 - begins[owner]
 
 
 class _Side:
-    """Findings of one unit, read from the shared folder: rows of (row, ...) by row."""
+    """Findings beside the input: rows (unit, row, ...) in files sorted by both, read forward, a stretch at a time."""
+
+    def __init__(self, folder: str, parts: int) -> None:
+        self.folder, self.parts, self.unit, self.at, self.files = folder, parts, None, 0, []
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.unit, self.table = folder, None, None
+    def _open(self, unit: int, row: int) -> None:
+        import pyarrow.dataset as ds
+
+        fs, path = _filesystem(f"{self.folder}/slot={unit % self.parts}")
+        self.files = []
+        if fs.get_file_info(path).type.name == "Directory":
+            for f in ds.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=False).get_fragments():
+                wanted = (ds.field("unit") == unit) & (ds.field("row") >= row)
+                batches = f.to_batches(filter=wanted, batch_size=8192, use_threads=False, batch_readahead=0, fragment_readahead=0)
+                self.files.append([batches, None, 0])
+        self.unit = unit
 
     def rows(self, unit: int, row: int) -> list[tuple]:
-        if unit != self.unit:
-            import pyarrow.dataset as ds
-
-            fs, path = _filesystem(f"{self.folder}/unit={unit}")
-            self.unit, self.table = unit, {}
-            if fs.get_file_info(path).is_file or fs.get_file_info(path).type.name == "Directory":
-                names = None
-                for b in ds.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=False).to_batches():
-                    names = b.schema.names
-                    at = names.index("row")
-                    for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                        self.table.setdefault(r[at], []).append(r[:at] + r[at + 1 :])
-        return self.table.get(row, [])
-
-
-def _by_unit(df: DataFrame, name: str) -> str:
-    """Write rows (unit, row, ...) in a folder per unit; returns the folder."""
+        """The findings (...) of one row; rows of a unit are asked for in ascending order, or it is opened again."""
+        if unit != self.unit or row <= self.at:
+            self._open(unit, row)
+        self.at, out = row, []
+        for f in self.files:
+            while True:
+                if f[1] is None:
+                    b = next(f[0], None)
+                    if b is None:
+                        break
+                    f[1], f[2] = (b.column("row").to_numpy(), b.drop_columns(["unit", "row"])), 0
+                places, rest = f[1]
+                i, j = np.searchsorted(places, (row, row + 1))
+                if j > i:
+                    out += zip(*(c.to_pylist() for c in rest.slice(i, j - i).columns), strict=True)
+                if j < len(places):
+                    break
+                f[1] = None
+        return out
+
+
+def _by_unit(df: DataFrame, name: str) -> tuple[str, int]:
+    """Write rows (unit, row, ...) sorted by both, the rows of a unit in one folder of several; returns the folders' parent and their number."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").write.partitionBy("unit").parquet(path)
-    return path
+    path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("slot", F.pmod("unit", F.lit(n))).repartition(n, "slot").sortWithinPartitions("slot", "unit", "row")
+    rows.write.option("parquet.block.size", 1 << 22).partitionBy("slot").parquet(path)
+    return path, n
 
 
 def placed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -203,16 +236,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
        of their own, combined before the shuffle, so that a common one is a sum and not a pile of rows.
     2. Equal snippets of an anchor are one variant, with its first place. A document's later runs of a variant are lost
        at once.
-    3. The variants of anchors with more than one are merged: suffix orders by shard, interleaved by refinement
-       (see :mod:`suffixes`). Blocks of equal strings of ``length`` bytes give each window its first place. An anchor of
+    3. The variants of anchors with more than one are merged: Burrows-Wheeler transforms by shard, interleaved by refinement
+       (see :mod:`suffixes`). Repeated intervals of ``length`` bytes give each window its first place. An anchor of
        over MAX_VARIANTS variants has its windows named by a 128-bit hash instead: the first place of each is a minimum,
        taken in part before the shuffle, and joined to the others, so no task holds a group.
     4. All of a variant's places but the first lose all windows; the first loses those that start earlier elsewhere.
 
-    Texts are never shuffled: findings are written by input unit and read back beside the texts. Null and empty texts,
+    Texts are never shuffled: findings are written by input unit, in the order of its rows, and read back beside the texts,
+    a stretch at a time, so very long texts with many findings need no more memory than one text and its own. Null and empty texts,
     and those under ``length`` bytes, lose nothing (kept text: with undecodable cut characters replaced). Repeated rows
-    lose all but the first. An empty table gives an empty result.
+    lose all but the first. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    ``length`` is over GRAM and at most GRAM + 194 (a run's windows and its anchor's place are kept in 8 bits).
+
+    Equal snippets are told by 64-bit hashes, and only compared where their anchors have equal hashes, so a chance
+    collision needs two different variants of one anchor: v variants of an anchor bring it with a chance of v * v / 2 ** 65.
     """
+    if not GRAM < length <= GRAM + 194:
+        raise ValueError(f"length must be over {GRAM} and at most {GRAM + 194}")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = placed(docs, key, text)
@@ -251,7 +291,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     side = _by_unit(variants.join(several, "g").select("unit", "row", "g", "v", "pack", "hot"), "repeats-wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _Side(side)
+        wanted = _Side(*side)
         for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -264,7 +304,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["g", "v", "doc", "unit", "row", "start", "bytes"])
 
     def cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _Side(side)
+        wanted = _Side(*side)
         for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -281,24 +321,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     snippets = snippets.repartition(n, "g").sortWithinPartitions("g")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-
-        def result() -> pa.RecordBatch:
-            rank = {d: i for i, d in enumerate(sorted({x[2:5] for x in held}))}
-            ranges = owned_ranges([(rank[x[2:5]], x[5], x[6]) for x in held], length)
-            keep = [(x[0], x[1], r) for x, r in zip(held, ranges, strict=True) if r]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], names=["g", "v", "ranges"])
-
-        for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= BUCKET and x[0] != last:
-                    yield result()
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[6])
-                last = x[0]
+        names = ["g", "v", "ranges"]
+
+        def result(t: pa.Table) -> pa.RecordBatch:
+            g, v, doc, unit, row, start = (t.column(i).to_numpy() for i in range(6))
+            new = np.lexsort((row, unit, doc))
+            rank = np.empty(len(new), np.int64)
+            rank[new] = np.cumsum(np.concatenate(([False], (np.diff(doc[new]) != 0) | (np.diff(unit[new]) != 0) | (np.diff(row[new]) != 0))))
+            raw = t.column(6).combine_chunks()
+            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+            sizes = pc.binary_length(raw).to_numpy().astype(np.int64)
+            data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+            owner, a, b = owned_ranges(rank, start, data, np.cumsum(sizes), length)
+            heads, counts = np.unique(owner, return_counts=True)
+            ranges = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(2 * counts))), pa.int32()), pa.array(np.stack((a, b), axis=1).ravel(), pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(g[heads]), pa.array(v[heads]), ranges], names=names)
+
+        held, size = [], 0
+        for batch in batches:
+            for b in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                held.append(b)
+                size += b.column(6).nbytes
+                if size >= BUCKET:
+                    t = pa.Table.from_batches(held)
+                    last = int(np.searchsorted(t.column(0).to_numpy(), b.column(0)[-1].as_py()))  # the last anchor may go on
+                    if last:
+                        yield result(t.slice(0, last))
+                        t = t.slice(last)
+                    held, size = t.to_batches(), t.column(6).nbytes
         if held:
-            yield result()
+            yield result(pa.Table.from_batches(held))
 
     losses = materialize(snippets.mapInArrow(merge, "g long, v long, ranges array<int>"), "repeats-losses")
 
@@ -323,7 +375,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = _by_unit(spans, "repeats-spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findings = _Side(spans)
+        findings = _Side(*spans)
         for b in sliced(batches):
             out = []
             for doc, raw, unit, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):

@@ -1,123 +1,87 @@
-"""Orders of the suffixes of many short strings: built by shard, merged by interleave refinement."""
+"""Burrows-Wheeler transforms of shards of strings, and their merge by interleave refinement."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Depths at which orders are kept, each from the one before: a prefix of depth h + step is one of depth h and the one ``step`` on.
-FIRST = 8
-#: Bytes of a shard.
-SHARD = 1 << 18
-
-
-def depths(length: int) -> list[tuple[int, int]]:
-    """(depth, step) from FIRST up to ``length``: doubled while that fits, then overlapping."""
-    out, h = [], FIRST
-    while h < length:
-        step = min(h, length - h)
-        h += step
-        out.append((h, step))
-    return out
-
-
-def _ranks(order: np.ndarray, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Write the dense rank of each ordered position; returns where a new block begins."""
-    new = np.empty(len(order), bool)
-    new[:1] = True
-    np.not_equal(keys[1:], keys[:-1], out=new[1:])
-    out[order] = np.cumsum(new)
-    return new
-
-
-class Shard:
-    """One shard's suffix orders at every depth.
-
-    ``orders[i]`` are the positions with at least that depth left in their string, by their prefix, ties by position.
-    """
-
-    def __init__(self, left: np.ndarray, words: np.ndarray, start: int, end: int, length: int) -> None:
-        at = np.arange(start, end)[left[start:end] >= FIRST]
-        keys = words[at]
-        pick = np.argsort(keys, kind="stable")
-        rank = np.zeros(end - start, np.int64)
-        order = at[pick]
-        _ranks(order - start, keys[pick], rank)
-        self.orders = [order]
-        for h, step in depths(length):
-            at = np.arange(start, end)[left[start:end] >= h]
-            keys = rank[at - start] << 32 | rank[at - start + step]
-            pick = np.argsort(keys)
-            order = at[pick]
-            rank = np.zeros(end - start, np.int64)
-            _ranks(order - start, keys[pick], rank)
-            self.orders.append(order)
-
-
-def merged_blocks(data: np.ndarray, ends: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of all shards' suffixes: (order, block starts, common prefixes).
-
-    ``data`` is the strings one after another, ``ends`` where they end. The order is of every position with ``length``
-    bytes left in its string; suffixes whose first ``length`` bytes are equal form a block; common prefixes are those with
-    the suffix before, to the depths that were refined. The interleave starts from the first 8 bytes and is refined to
-    twice the depth each round: the shards' own orders are runs in it, which are merged, not sorted again.
-    """
-    sizes = np.diff(ends, prepend=0)
-    left = np.repeat(ends, sizes) - np.arange(len(data))
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
-    cuts = [0]
-    for e in ends:
-        if e - cuts[-1] >= shard:
-            cuts.append(int(e))
-    if cuts[-1] != len(data):
-        cuts.append(len(data))
-    shards = [Shard(left, words, a, b, length) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    rank = np.zeros(len(data) + 1, np.int64)
-    common = None
-    for i, (h, step) in enumerate([(FIRST, 0), *depths(length)]):
-        runs = np.concatenate([s.orders[i] for s in shards]) if shards else np.zeros(0, np.int64)
-        keys = words[runs] if i == 0 else rank[runs] << 32 | rank[runs + step]
-        pick = np.argsort(keys, kind="stable")  # a merge: each shard's stretch is in order
-        order, keys = runs[pick], keys[pick]
-        last = rank
-        rank = np.zeros(len(data) + 1, np.int64)
-        new = _ranks(order, keys, rank)
-        if h == length or i == len(depths(length)):
-            before = np.zeros(len(order), np.int64) if i == 0 else np.where(np.concatenate(([True], last[order[1:]] != last[order[:-1]])), 0, h - step)
-            common = np.where(new, before, h)
-    return order, np.flatnonzero(new), common
+#: Bytes of the first key that suffixes are sorted by; the rest of the word says how many of them there are.
+FIRST = 7
 
 
 class Transform:
-    """Burrows-Wheeler transform of a shard of strings: the byte before each suffix (0 before a string), and where that suffix is.
+    """Burrows-Wheeler transform of a shard of strings, to a depth of ``length`` bytes.
 
-    Suffixes, the empty one of each string included, are ordered by their first ``length`` bytes, ties by place.
+    The suffixes of all strings, the empty one of each included, in the order of their first ``length`` bytes (a suffix that
+    ends is before those that go on). For each: ``before``, the byte before it; ``link``, where in this order the suffix
+    is that begins with that byte; ``string`` and ``into``, the string it is of and its place there. The byte before a whole
+    string is taken as 0 and linked to the string's empty suffix.
     """
 
-    def __init__(self, strings: list[bytes], length: int) -> None:
-        places = [(s[i : i + length], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)]
-        places.sort()
-        index = {(k, i): at for at, (_, k, i) in enumerate(places)}
-        self.places = [(k, i) for _, k, i in places]
-        self.before = np.array([strings[k][i - 1] + 1 if i else 0 for _, k, i in places], np.uint16)
-        self.link = np.array([index[k, i - 1 if i else len(strings[k])] for _, k, i in places], np.int64)
-
-
-def merged_transforms(shards: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first ``length`` bytes, from the transforms alone: (order, block numbers).
-
-    Each round takes the bytes before the suffixes in the order so far and deals the suffixes that they begin into one
-    stretch a byte, in that order: what was in order to depth h then is to depth h + 1. Nothing is compared or sorted again,
-    and a block splits at the depth where a common prefix ends. ``length`` rounds over all suffixes make it several times
-    slower than :func:`merged_blocks`, whose blocks are the same.
+    def __init__(self, data: np.ndarray, ends: np.ndarray, length: int) -> None:
+        sizes = np.diff(ends, prepend=0)
+        stops = (ends + np.arange(len(ends))).astype(np.int64)  # every string is followed by a slot for its empty suffix
+        total = len(data) + len(ends)
+        full = np.zeros(total + 8, np.uint8)
+        slot = np.ones(total, bool)
+        slot[stops] = False
+        full[:total][slot] = data
+        at = np.arange(total)
+        stop = np.repeat(stops, sizes + 1)
+        begin = np.repeat(stops - sizes, sizes + 1)
+        left = stop - at
+        have = np.minimum(left, FIRST).astype(np.uint64)
+        word = np.ndarray(total, ">u8", full, strides=(1,)).astype(np.uint64) >> np.uint64(8)
+        word &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(FIRST) - have))) - np.uint64(1))
+        key, depth, rank = word << np.uint64(3) | have, FIRST, np.zeros(total + 1, np.int64)
+        while True:
+            pick = np.argsort(key)
+            key = key[pick]
+            rank[pick] = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+            if depth >= length:
+                break
+            step = min(depth, length - depth)
+            key = rank[:total] << 32 | np.where(step <= left, rank[np.minimum(at + step, total)], 0)
+            depth += step
+        where = np.empty(total, np.int32)
+        where[pick] = np.arange(total, dtype=np.int32)
+        prev = np.where(at > begin, at - 1, stop)[pick]
+        self.before, self.link = full[prev], where[prev]
+        self.before[at[pick] == begin[pick]] = 0
+        self.string = np.repeat(np.arange(len(ends), dtype=np.int32), sizes + 1)[pick]
+        self.into = (at - begin)[pick].astype(np.int32)
+
+
+def merged_transforms(shards: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave of all shards' windows of ``length`` bytes: (shard, string, place in it, whether a block begins) in order.
+
+    The interleave starts as one shard after the other. Each round takes the bytes before the suffixes, in the order so far,
+    and deals the suffixes that these bytes begin into one stretch a byte: what was in order to depth h then is to depth
+    h + 1, and a block splits where the common prefix with the suffix before ends. Two bytes are dealt a round. Only transforms are
+    read: nothing is compared, and no suffix is sorted again. A block at depth ``length`` is a repeated interval: all places
+    of one string.
+
+    A suffix takes part while a window needs it: at depth h those that begin ``length`` - h bytes into a window.
     """
     bases = np.cumsum([0, *(len(s.before) for s in shards)])
+    if not bases[-1]:
+        return tuple(np.zeros(0, np.int32) for _ in range(3)) + (np.zeros(0, bool),)
     before = np.concatenate([s.before for s in shards])
-    link = np.concatenate([s.link + b for s, b in zip(shards, bases, strict=False)])
-    order, block = np.arange(len(before)), np.zeros(len(before), np.int64)
-    for _ in range(length):
-        deal = np.argsort(before[order], kind="stable")  # 16-bit keys: a counting sort
-        byte, old = before[order][deal], block[deal]
-        order = link[order[deal]]
-        block = np.cumsum(np.concatenate(([True], (byte[1:] != byte[:-1]) | (old[1:] != old[:-1]))))
-    return order, block
+    link = np.concatenate([s.link + b for s, b in zip(shards, bases.tolist(), strict=False)]).astype(np.int32)
+    into = np.concatenate([s.into for s in shards])
+    order = np.flatnonzero(into >= length).astype(np.int32)
+    block = np.zeros(len(order), np.int32)
+    new = np.zeros(len(order), bool)
+    two, second = before[link].astype(np.uint16) << np.uint16(8) | before, link[link]
+    for h in range(length % 2, length + 1, 2):
+        if h == 0:
+            continue
+        byte, back = (before, link) if h == 1 else (two, second)
+        key = byte[order]
+        deal = np.argsort(key, kind="stable")  # keys of at most 16 bits: a counting sort
+        key, block, order = key[deal], block[deal], back[order[deal]]
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        new[1:] |= block[1:] != block[:-1]
+        new[:1] = True
+        block = np.cumsum(new, dtype=np.int32)
+    shard = np.searchsorted(bases, order, side="right").astype(np.int32) - 1
+    return shard, np.concatenate([s.string for s in shards])[order], into[order], new

@@ -6,7 +6,7 @@ import pytest
 
 from kmerspark.llm import repeats
 from kmerspark.llm.repeats import remove_repeats, runs_of
-from kmerspark.llm.suffixes import Transform, merged_blocks, merged_transforms
+from kmerspark.llm.suffixes import Transform, merged_transforms
 
 
 def brute(texts, length=100):
@@ -44,7 +44,8 @@ def corpora():
 @pytest.mark.parametrize("shard,variants", [(1 << 18, 50_000), (700, 1)])
 def test_removal_equals_brute_force(spark, docs_of, monkeypatch, texts, shard, variants):
     monkeypatch.setattr(repeats, "MAX_VARIANTS", variants)
-    monkeypatch.setattr(repeats, "merged_blocks", lambda data, ends, length: merged_blocks(data, ends, length, shard))
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(repeats, "BUCKET", 4 * shard)
     monkeypatch.setattr(repeats, "PIECE", 1500)
     got = {r["doc_id"]: r for r in remove_repeats(docs_of(texts)).collect()}
     for i, e in enumerate(brute(texts)):
@@ -76,36 +77,62 @@ def test_equal_windows_have_equal_anchors():
     assert len(found) == sum(len(t) - 99 for t in texts)
 
 
-@pytest.mark.parametrize("shard", [10**9, 300])
-def test_interleave_orders_and_prefixes(shard):
+def joined(strings):
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings], dtype=np.int64)
+
+
+def test_transform_is_the_sorted_suffixes_and_walks_back_through_each_string():
     r = random.Random(4)
-    strings = [text(r, r.randrange(1, 200), "ab").encode() for _ in range(40)] + [b"a" * 150, b"a" * 151]
-    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
-    order, blocks, common = merged_blocks(data, ends, 100, shard)
-    raw = data.tobytes()
-    prefixes = [raw[i : i + 100] for i in order]
-    begins = np.concatenate(([0], ends[:-1]))
-    assert sorted(order.tolist()) == [int(b) + i for b, s in zip(begins, strings) for i in range(len(s) - 99)]
-    assert prefixes == sorted(prefixes)
-    assert blocks.tolist() == [i for i in range(len(order)) if i == 0 or prefixes[i] != prefixes[i - 1]]
-    assert all((common[i] == 100) == (prefixes[i] == prefixes[i - 1]) for i in range(1, len(order)))
-
-
-def test_transforms_merge_to_the_same_blocks():
+    strings = [text(r, r.randrange(0, 200), "ab\0").encode() for _ in range(30)] + [b"a" * 150, b"a" * 151, b""]
+    for length in (1, 7, 8, 50, 100):
+        t = Transform(*joined(strings), length)
+        suffixes = [strings[k][i : i + length] for k, i in zip(t.string.tolist(), t.into.tolist())]
+        assert suffixes == sorted(s[i : i + length] for s in strings for i in range(len(s) + 1))
+        for k, s in enumerate(strings):
+            at = next(x for x in range(len(t.into)) if (t.string[x], t.into[x]) == (k, len(s)))
+            back = bytearray()
+            for _ in s:
+                back.append(t.before[at])
+                at = t.link[at]
+            assert bytes(back[::-1]) == s and t.into[at] == 0
+
+
+@pytest.mark.parametrize("length", [99, 100, 3])
+@pytest.mark.parametrize("n", [1, 11, 1000])
+def test_merged_transforms_are_the_sorted_windows(n, length):
     r = random.Random(6)
-    strings = [text(r, r.randrange(0, 160), "ab").encode() for _ in range(40)] + [b"a" * 150, b"a" * 151, b"ab" * 70]
-    shards = [Transform(strings[i : i + 11], 100) for i in range(0, len(strings), 11)]
-    order, block = merged_transforms(shards, 100)
-    names = [(11 * n + k, i) for n, s in enumerate(shards) for k, i in s.places]
-    got = [(block[at], names[x]) for at, x in enumerate(order) if names[x][1] + 100 <= len(strings[names[x][0]])]
-    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
-    plain, starts, _ = merged_blocks(data, ends, 100, 500)
-    begins = np.concatenate(([0], ends[:-1]))
-    groups = {}
-    for b, (k, i) in got:
-        groups.setdefault(b, set()).add(int(begins[k]) + i)
-    assert [groups[b] for b in sorted(groups)] == [set(x.tolist()) for x in np.split(plain, starts[1:])]
-    assert [strings[k][i : i + 100] for _, (k, i) in got] == sorted(strings[k][i : i + 100] for _, (k, i) in got)
+    strings = [text(r, r.randrange(0, 160), "ab").encode() for _ in range(40)] + [b"a" * 150, b"a" * 151, b"ab" * 70, bytes(range(256))]
+    shards = [Transform(*joined(strings[i : i + n]), length) for i in range(0, len(strings), n)]
+    shard, string, into, new = merged_transforms(shards, length)
+    windows = [strings[n * a + k][i : i + length] for a, k, i in zip(shard.tolist(), string.tolist(), into.tolist())]
+    assert windows == sorted(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+    assert new.tolist() == [i == 0 or windows[i] != windows[i - 1] for i in range(len(windows))]
+    assert len(set(zip(shard.tolist(), string.tolist(), into.tolist()))) == len(windows)
+
+
+def test_nothing_merges_to_nothing():
+    assert [len(x) for x in merged_transforms([], 100)] == [0] * 4
+    assert [len(x) for x in merged_transforms([Transform(*joined([b"", b"short"]), 100)], 100)] == [0] * 4
+
+
+def test_lengths_that_fit(spark, docs_of):
+    r = random.Random(11)
+    a = text(r, 700)
+    for length in (41, 60, 234):
+        for i, e in enumerate(brute([a, a[100:400], a + a], length)):
+            got = {x["doc_id"]: x for x in remove_repeats(docs_of([a, a[100:400], a + a]), length=length).collect()}
+            assert (got[i]["n_removed"], got[i]["n_spans"]) == e[1:3]
+    for length in (40, 235):
+        with pytest.raises(ValueError):
+            remove_repeats(docs_of([a]), length=length)
+
+
+def test_very_long_text(spark, docs_of):
+    r = random.Random(12)
+    long = text(r, 1_500_000)
+    texts = [long[:1_000_000], long, long[700_000:700_300]]
+    got = {x["doc_id"]: x for x in remove_repeats(docs_of(texts), texts=False).collect()}
+    assert [got[i]["n_removed"] for i in range(3)] == [e[1] for e in brute(texts)] == [0, 1_000_000, 300]
 
 
 def test_windows_of_a_hot_anchor_are_minima_before_they_are_joined(spark, docs_of, monkeypatch):
