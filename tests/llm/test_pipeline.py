@@ -42,8 +42,9 @@ def test_stages_and_run_equal_a_plain_version(spark):
                 parent[b] = a
     reps = sorted({find(i) for i in cls})
     assert left[1] == reps and len(reps) < len(cls)
-    bench = decontaminate.Benchmark([(r["item_id"], r["text"]) for r in read_table(spark, SF, "benchmark").collect()])
-    clean = [i for i in reps if not any(c >= 0.5 for _, c, _ in bench.covered(texts[i]["text"]))]
+    words = decontaminate.Words()
+    items = [words(r["text"]) for r in read_table(spark, SF, "benchmark").collect()]
+    clean = [i for i in reps if not any(sum(t[2] for t in decontaminate.tiles(w, words(texts[i]["text"]))) >= 0.5 * len(w) for w in items)]
     assert left[2] == clean and left[3] == clean and len(clean) < len(reps)
     encoder = WordEncoder(tokenizer_path())
     final = results[-1][2].orderBy("start").collect()

@@ -90,8 +90,7 @@ def test_tiles_equal_brute_force():
         for _ in range(r.randrange(1, 6)):
             i = r.randrange(len(a))
             b += a[i : i + r.randrange(1, 14)] + [r.randrange(7)] * r.randrange(2)
-        spots = [d for d in range(len(b) - 2) if any(a[p : p + 3] == b[d : d + 3] for p in range(len(a) - 2))]
-        found = D.tiles(a, b, spots, 3)
+        found = D.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
         assert all(a[p : p + n] == b[d : d + n] and n >= 3 for p, d, n in found)
         assert sum(n for *_, n in found) == brute_tiles(a, b, 3)
 
@@ -99,17 +98,79 @@ def test_tiles_equal_brute_force():
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog near the old river bank today"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (3, "too short"), (4, None), (2, "one two three four five six seven eight nine ten")]
 
 
-@pytest.mark.parametrize("most", [10**6, 60])
-def test_contamination(spark, most):
+def plain(texts, items, threshold=0.5):
+    """Every text with every item: (n_items, best_item, coverage, n_tiles)."""
+    words, out = D.Words(), []
+    for t in texts:
+        held = []
+        for k, it in items:
+            ids = words(it)
+            found = D.tiles(ids, words(t)) if len(ids) else []
+            covered = sum(x[2] for x in found) / max(len(ids), 1)
+            if found and covered >= threshold:
+                held.append((-covered, k is None, k or 0, len(found)))
+        c, no, k, n = min(held) if held else (-0.0, True, 0, 0)
+        out.append((len(held), None if no else k, -c, n))
+    return out
+
+
+def test_contamination(spark):
     r = random.Random(5)
     noise = lambda n: " ".join(r.choice(["lorem", "ipsum", "the", "of", "and"]) for _ in range(n))
     w = ITEMS[0][1].split()
-    texts = {0: ITEMS[0][1], 1: f"{noise(90)} {' '.join(w[8:])}. {noise(70)} {' '.join(w[:8])}, {noise(9)}", 2: noise(300), 3: " ".join(w[:6]) + " " + noise(30), 4: ITEMS[1][1].upper() + " " + ITEMS[4][1], 5: None, 6: "", 7: "too short"}
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t in texts.items()], "doc_id long, text string, coverage double")
+    texts = {0: ITEMS[0][1], 1: f"{noise(90)} {' '.join(w[8:])}. {noise(70)} {' '.join(w[:8])}, {noise(9)}", 2: noise(300), 3: " ".join(w[:6]) + " " + noise(30), 4: ITEMS[1][1].upper() + " " + ITEMS[4][1], 5: None, 6: "", 7: "Too short!", 8: "far too short", 9: "", 10: noise(60_000) + " " + ITEMS[0][1] + " " + noise(60_000)}
+    docs = spark.createDataFrame([(i, t, 0.5, "x", 2) for i, t in [*texts.items(), *texts.items()]], "doc_id long, text string, coverage double, h1 string, n long")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = {x["doc_id"]: x for x in D.find_contamination(docs, bench, max_chars=most).collect()}
-    assert [i for i in got if got[i]["contaminated"]] == [0, 1, 4]
+    rows = D.find_contamination(docs, bench).collect()
+    got = {x["doc_id"]: x for x in rows}
+    assert len(rows) == 2 * len(texts) and rows[0].asDict().keys() == {"doc_id", "text", "h1", "n", *D.RESULT}
+    assert sorted(i for i in got if got[i]["contaminated"]) == [0, 1, 4, 7, 10]
     assert (got[0]["best_item"], got[0]["coverage"]) == (1, 1.0) and got[1]["n_tiles"] == 2 and got[1]["coverage"] == 1.0
-    assert got[3]["coverage"] == pytest.approx(6 / len(w)) and got[4]["n_items"] == 2
+    assert (got[3]["best_item"], got[3]["coverage"]) == (None, 0.0) and got[4]["n_items"] == 2
     assert not any(x["contaminated"] for x in D.find_contamination(docs, bench.limit(0)).collect())
     assert D.find_contamination(docs.limit(0), bench).collect() == []
+    third = {x["doc_id"]: x for x in D.find_contamination(docs, bench, threshold=0.35).collect()}
+    assert third[3]["coverage"] == pytest.approx(6 / len(w)) and third[3]["n_tiles"] == 1
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 1.0])
+def test_contamination_equals_every_pair_tiled(spark, threshold):
+    r = random.Random(9)
+    text = lambda n, v: " ".join(r.choice("abcdefghijklmnopqrst"[:v]) for _ in range(n))
+    line = text(12, 20)
+    items = [(i if i % 7 else None, f"{line} {text(r.randrange(1, 40), 20)}") for i in range(40)] + [(3, text(30, 4)), (3, text(30, 4)), (50, line), (50, line), (51, "a b c"), (52, "")]
+    texts = [text(r.randrange(0, 200), 4) for _ in range(10)] + [f"{text(30, 20)} {line} {text(9, 20)}" for _ in range(10)]
+    for _ in range(60):
+        parts = [" ".join(x[a : a + r.randrange(3, 25)]) for x in (r.choice(items)[1].split() for _ in range(4)) for a in [r.randrange(0, len(x) + 1)]]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_items"], x["best_item"], x["coverage"], x["n_tiles"]) for x in D.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), threshold=threshold).collect()}
+    expected = plain(texts, items, threshold)
+    assert [got[i][:3] for i in range(len(texts))] == [e[:3] for e in expected] and any(e[0] for e in expected)
+
+
+def test_a_line_that_all_items_share_pairs_nothing(spark, monkeypatch):
+    r = random.Random(10)
+    line = "choose the best one of the answers that follow and say why"
+    own = lambda i: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    items = [(i, f"{line} {own(i)}") for i in range(300)]
+    docs = spark.createDataFrame([(i, f"{own(i)} {line} {own(i)}") for i in range(300)] + [(1000 + i, f"{own(i)} {t}") for i, t in items[:20]], "doc_id long, text string")
+    frames, write = {}, D.materialize
+
+    def kept(df, name):
+        frames[name] = write(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(D, "materialize", kept)
+    got = {x["doc_id"]: x for x in D.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert frames["contamination-pairs"].count() == 20
+    assert sorted(i for i in got if got[i]["contaminated"]) == list(range(1000, 1020)) and all(got[1000 + i]["best_item"] == i for i in range(20))
+
+
+def test_query_equals_every_pair_tiled(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    items = [tuple(x) for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {x["doc_id"]: (x["n_items"], x["best_item"], x["coverage"], x["n_tiles"], x["contaminated"]) for x in D.op10_query(spark, sf).collect()}
+    expected = plain([x["text"] for x in docs], items)
+    assert got == {x["doc_id"]: (*e, e[0] > 0) for x, e in zip(docs, expected, strict=True)} and any(e[0] for e in expected)
