@@ -1,8 +1,14 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 
+import pytest
+from pyspark.sql import functions as F
+
+from kmerspark.llm import secrets as S
 from kmerspark.llm.secrets import scan_secrets
 
 # the same kinds for Python's engine; letters of the first group in either ASCII case
@@ -27,8 +33,10 @@ def test_base_spans_equal_brute_force(spark):
     r = random.Random(2)
     bits = ["password", "token", "secret", "api_key", "=", ":", " ", "'", '"', "AKIA", "ABCDEF0123456789", "abc", "deadbeef00", "é", "😀", "\n", "."]
     texts = TEXTS + ["".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(300)]
-    df = spark.createDataFrame([(i, t, "base", 1) for i, t in enumerate(texts)], "doc_id long, text string, other string, start int")
-    for row in scan_secrets(df).collect():
+    df = spark.createDataFrame([(i, t, "base", 1, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, base string, start int, cands string, `a.b` string")
+    rows = scan_secrets(df.union(df)).collect()
+    assert len(rows) == 2 * len(texts) and set(rows[0].asDict()) == {"doc_id", "text", "start", "cands", "a.b", "base", "spans"}
+    for row in rows:
         spans = [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["base"]]
         assert spans == brute(texts[row["doc_id"]]), texts[row["doc_id"]]
         assert set(spans) <= {f"{s['kind']}:{s['start']}:{s['end']}" for s in row["spans"]}
@@ -77,6 +85,102 @@ def test_tokens_after_names_in_paths_and_without_digits(spark):
     assert not any(got[i] for i, _ in words)
 
 
+def plain_battery(token, kind):
+    """The battery once more, in plain Python."""
+    m, body = {"random_hex": 16, "random_base32": 32, "random_base64": 64}[kind], token.rstrip("=")
+    body = body.lower() if kind == "random_hex" else body.replace("-", "+").replace("_", "/")
+    v = [S.SYMBOLS[kind].index(c) for c in body]
+    n, mean = len(v), sum(v) / len(v)
+    phi = lambda z: 1 / (1 + math.exp(-max(min(1.5976 * z + 0.07056 * z**3, 700), -700)))
+    chi = sum((v.count(c) - n / m) ** 2 / (n / m) for c in range(m))
+    wilson = ((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1)))
+    up = [x >= m / 2 for x in v]
+    n1, n0 = sum(up), n - sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    z_runs = (runs - 1 - 2 * n1 * n0 / n) / math.sqrt(max(2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1)), 1e-9)) if n1 and n0 else 9.0
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / max(sum((x - mean) ** 2 for x in v), 1e-9)
+    z_serial = (serial + 1 / n) * math.sqrt(n)
+    ps = [max(phi(-wilson), 1e-12), *(max(2 * phi(-abs(z)), 1e-12) for z in (z_runs, z_serial))]
+    costs, at, bits = S._prose_costs(), 0, 0.0
+    for c in token.rstrip("="):
+        k = ord(c) - 64 if "A" <= c <= "Z" else ord(c) - 70 if "a" <= c <= "z" else 53 if c.isdigit() else 54
+        bits += (ord(costs[at][k - 1]) - 32) / 8
+        at = k
+    return (*ps, min(1, 3 * min(ps)), min((n * math.log2(m) - bits) * math.log10(2), 0.0))
+
+
+def tokens_of(r):
+    alphabets = {"random_hex": "0123456789abcdef", "random_base32": S.SYMBOLS["random_base32"], "random_base64": S.SYMBOLS["random_base64"] + "-_"}
+    for kind, a in alphabets.items():
+        for n in (20, 21, 33, 64, 300, 9000):
+            yield kind, "".join(r.choice(a) for _ in range(n))
+        yield kind, a[:2] * 15
+        yield kind, a[-1] * 25
+        yield kind, "".join(sorted(r.choice(a) for _ in range(50)))
+    yield "random_hex", "0123456789ABCDEF" * 2
+    yield "random_base64", "internationalization/understanding=="
+
+
+def test_battery_equals_a_plain_version(spark):
+    some = list(tokens_of(random.Random(12)))
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(some)], "i int, kind string, token string")
+    got = {x["i"]: x["b"] for x in df.select("i", S.battery(F.col("token"), F.col("kind")).alias("b")).collect()}
+    for i, (k, t) in enumerate(some):
+        assert list(got[i]) == pytest.approx(list(plain_battery(t, k)), rel=1e-6, abs=1e-12), (k, t)
+
+
+def plain_cut(ps, q):
+    """Benjamini-Hochberg over binned log p-values: the lowest bin that is rejected."""
+    bins = [min(int(-x / S.BIN), S.MAX_BIN) for x in ps]
+    cut = S.MAX_BIN + 1
+    for b in sorted(set(bins), reverse=True):
+        if -b * S.BIN <= math.log10(q * sum(x >= b for x in bins) / len(bins)):
+            cut = min(cut, b)
+    return bins, cut
+
+
+def test_added_spans_equal_a_plain_version(spark):
+    r = random.Random(13)
+    some = [t for _, t in tokens_of(r) if len(t) < 400] + ["".join(r.choice("abcdefghij") for _ in range(r.randrange(20, 40))) for _ in range(60)] + ["configuration/parameters/handler", "1" * 30]
+    texts = [" ".join(r.choice(some) for _ in range(r.randrange(1, 6))) for _ in range(40)]
+    found, spots = {}, {}
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"\S+", t):
+            token = m[0]
+            body = token.rstrip("=")
+            if any(p.search(token) for p in (re.compile("[0-9a-f]{24,}"), re.compile("AKIA[A-Z0-9]{16,}"))) or body.isdigit() or (set(body) & set("+/") and set(body) & set("-_")):
+                spots[i] = spots.get(i, ()) + ((m.start(), m.end()),)  # base kinds, numbers and mixed alphabets are for the other tests
+                continue
+            kind = "random_hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else "random_base32" if re.fullmatch("[A-Z2-7]+", body) else "random_base64"
+            found[i, m.start(), m.end()] = (kind, sum(len(token) > x for x in S.LENGTH_CLASSES), plain_battery(token, kind))
+    mixed = {i for i in spots}
+    texts = [t if i not in mixed else "" for i, t in enumerate(texts)]
+    found = {k: v for k, v in found.items() if k[0] not in mixed}
+    expected = set()
+    for cls in {v[:2] for v in found.values()}:
+        mine = [k for k in found if found[k][:2] == cls]
+        odd, odd_cut = plain_cut([math.log10(found[k][2][3]) for k in mine], 0.001)
+        bins, cut = plain_cut([found[k][2][4] for k in mine], 0.01)
+        expected |= {(*k, cls[0]) for k, o, b in zip(mine, odd, bins) if o < odd_cut and b >= cut}
+    rows = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x["doc_id"], s["start"], s["end"], s["kind"]) for x in rows for s in x["spans"]} == expected and len(expected) > 5
+
+
+def test_a_long_text_with_many_matches(spark):
+    r = random.Random(14)
+    make = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    some = [f"token=abc{i} " + ("f" * 24 if i % 3 else "x" * 9) for i in range(60_000)]
+    key, long = make(40, S.SYMBOLS["random_base64"][:62]), make(300_000, S.SYMBOLS["random_base64"])
+    t = " ".join([*some, key, long, "token:abcdefgh"])
+    began = time.time()
+    row = scan_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    took = time.time() - began
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["base"]] == brute(t)
+    at = t.index(key)
+    assert {(at, at + 40), (t.index(long), t.index(long) + 300_000)} <= {(s["start"], s["end"]) for s in row["spans"] if s["kind"].startswith("random")}
+    assert len(row["base"]) > 90_000 and took < 60, took
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert scan_secrets(df).collect() == []
