@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums, range_partitioned, read_table
+from .common import materialize, prefix_sums, range_partitioned, read_table, sliced
 
 #: States are named by the last turn written. A conversation is legal as [system] (user assistant)+, or empty.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -23,8 +23,8 @@ UNKNOWN = 0
 #: Costs of one repair.
 INSERT, RELABEL, RELABEL_UNKNOWN, MERGE_SAME, MERGE_UNKNOWN, MERGE_OTHER, MERGE_BLANK = 4, 6, 1, 2, 3, 7, 1
 FAR = 1 << 40
-#: Turns of a conversation that are repaired in one piece of memory; longer ones are cut into parts of this many.
-MAX_TURNS = 10_000
+#: Bytes of a conversation that are repaired in one piece of memory, each turn counting TURN_BYTES besides its text; longer ones are cut into parts.
+PART_BYTES, TURN_BYTES = 4_000_000, 100
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -78,28 +78,26 @@ def product(codes: list[tuple[int, bool]]) -> np.ndarray:
     return out
 
 
-def repair(codes: list[tuple[int, bool]], entry: int = START, leave: int | None = None) -> tuple[int, list[tuple]]:
-    """Cheapest path over the turns from ``entry`` to ``leave`` (None: the cheapest legal end): (cost, [(state, empties, kind)]).
+def repair(codes: list[tuple[int, bool]], entry: int = START, ahead: tuple[int, ...] = tuple(END_COST.tolist())) -> tuple[int, list[tuple]]:
+    """Cheapest path over the turns from ``entry``, where ending in a state costs ``ahead``: (cost, [(state, empties, kind)]).
 
-    Of equal costs the path through the lower states, seen from the end, is taken.
+    Of equal costs the path through the lower states, seen from the start, is taken, so the path over a part of a
+    conversation is that part of the whole's path if ``ahead`` are the least costs of what follows.
     """
-    costs = [[FAR] * 4]
-    costs[0][entry] = 0
-    for c in codes:
-        before, after = costs[-1], [FAR] * 4
+    to_go = [list(ahead)]
+    for c in reversed(codes):
+        after, before = to_go[-1], [FAR] * 4
         for (s, t), way in moves(*c).items():
-            if before[s] + way[0] < after[t]:
-                after[t] = before[s] + way[0]
-        costs.append(after)
-    last = costs[-1]
-    t = min(range(4), key=lambda s: last[s] + int(END_COST[s])) if leave is None else leave
-    total, path = last[t] + (int(END_COST[t]) if leave is None else 0), []
-    for i in range(len(codes) - 1, -1, -1):
-        ways = moves(*codes[i])
-        s = next(s for s in range(4) if (s, t) in ways and costs[i][s] + ways[s, t][0] == costs[i + 1][t])
+            before[s] = min(before[s], way[0] + after[t])
+        to_go.append(before)
+    to_go.reverse()
+    s, path = entry, []
+    for i, c in enumerate(codes):
+        ways = moves(*c)
+        t = next(t for t in range(4) if (s, t) in ways and ways[s, t][0] + to_go[i + 1][t] == to_go[i][s])
         path.append((t, ways[s, t][1], ways[s, t][2]))
-        t = s
-    return total, path[::-1]
+        s = t
+    return to_go[0][entry], path
 
 
 def render(texts: list[str], path: list[tuple], entry: int = START, ends: bool = True) -> str:
@@ -123,7 +121,7 @@ def render(texts: list[str], path: list[tuple], entry: int = START, ends: bool =
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal first ``keys`` columns."""
     held, rows = None, []
-    for b in batches:
+    for b in sliced(batches):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if row[:keys] != held:
                 if rows:
@@ -137,56 +135,84 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 SCHEMA = "conv_id long, part long, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string"
 
 
-def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", max_turns: int = MAX_TURNS) -> DataFrame:
+def _coded(r: str | None, t: str | None) -> tuple[int, bool]:
+    return ALIASES.get((r or "").strip().lower(), UNKNOWN), not (t or "").strip()
+
+
+def _joints(rows: DataFrame, n: int) -> DataFrame:
+    """(conv, part, number, last, entry, ahead) of every part of the conversations of several parts.
+
+    Parts' matrices are chained from the end to the least costs that follow each part; with these, a part's way from each state it
+    may be entered in is fixed, and the ways are chained from the start.
+    """
+    rows = rows.select("conv", "part", "row", "role", "text")
+    pieces = lambda df: df.repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "row")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (c, p), some in _groups(batches, 2):
+            m = product([_coded(x[3], x[4]) for x in some]).ravel().tolist()
+            yield pa.RecordBatch.from_pydict({"conv": pa.array([c], pa.int64()), "part": pa.array([p], pa.int64()), "m": pa.array([m], pa.list_(pa.int64()))})
+
+    def costs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        ahead = [END_COST]
+        for m in pdf["m"].iloc[:0:-1]:
+            ahead.append(np.minimum((np.array(m, np.int64).reshape(4, 4) + ahead[-1][None]).min(axis=1), FAR))
+        return pd.DataFrame({"conv": pdf["conv"], "part": pdf["part"], "ahead": [x.tolist() for x in ahead[::-1]]})
+
+    costed = pieces(rows).mapInArrow(products, "conv long, part long, m array<long>").groupBy("conv").applyInPandas(costs, "conv long, part long, ahead array<long>")
+    costed = materialize(costed, "chat-costs")
+    both = rows.alias("r").join(costed.alias("a"), F.col("r.conv").eqNullSafe(F.col("a.conv")) & (F.col("r.part") == F.col("a.part"))).select("r.*", "a.ahead")
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (c, p), some in _groups(batches, 2):
+            codes, ahead = [_coded(x[3], x[4]) for x in some], tuple(some[0][5])
+            leave = [repair(codes, s, ahead)[1][-1][0] if matrix(*codes[0])[s].min() < FAR else s for s in range(4)]
+            yield pa.RecordBatch.from_pydict({"conv": pa.array([c], pa.int64()), "part": pa.array([p], pa.int64()), "ahead": pa.array([ahead], pa.list_(pa.int64())), "leave": pa.array([leave], pa.list_(pa.int32()))})
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        entry = [START]
+        for leave in pdf["leave"]:
+            entry.append(int(leave[entry[-1]]))
+        number = list(range(len(pdf)))
+        return pd.DataFrame({"conv": pdf["conv"], "part": pdf["part"], "number": number, "last": [i == len(pdf) - 1 for i in number], "entry": entry[:-1], "ahead": pdf["ahead"]})
+
+    walked = pieces(both).mapInArrow(ways, "conv long, part long, ahead array<long>, leave array<int>")
+    return materialize(walked.groupBy("conv").applyInPandas(entries, "conv long, part long, number long, last boolean, entry int, ahead array<long>"), "chat-joints")
+
+
+def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Repair every conversation at the least cost and render it.
 
     Dynamic programming over the automaton picks, for each turn, to keep it, relabel it, merge it into the turn before,
     or write empty turns before it. The cost of a turn only depends on its role and on its being blank, so a stretch
-    of turns is a 4 x 4 min-plus matrix: conversations of over ``max_turns`` turns are cut into parts, the parts'
-    matrices are chained to fix the states between them, and the parts are repaired apart. There is a row per
-    conversation and part; parts, in order, concatenate to the whole (``n_out`` and ``n_inserted`` add up).
+    of turns is a 4 x 4 min-plus matrix: conversations of over ``part_bytes`` are cut into parts, the parts'
+    matrices are chained to fix the states between them, and the parts are repaired apart. The repair is the one of the whole
+    conversation, however it is cut. There is a row per conversation and part, numbered from 0; rows of a conversation, in order,
+    concatenate to the whole text, and their counts and costs add up to the whole's.
 
     Turns are ordered by ``turn`` (nulls first), ties by role, then text. Null texts count as blank, null or unknown
     roles may become any role, a null conversation id is one conversation; repeated rows are repeated turns; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; a very long turn is a part of its own; other columns are ignored, whatever their names.
     """
     spark = turns.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "text")]
     slim = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     cut = range_partitioned(slim, order, "chat-cut")
-    rows = prefix_sums(cut, {"row": F.lit(1)}, order).drop("_pid")
-    first = rows.groupBy("conv").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.alias("r").join(first.alias("f"), F.col("r.conv").eqNullSafe(F.col("f.conv"))).select("r.*", "f.first", "f.n")
-    rows = rows.withColumn("part", F.expr(f"(row - first) div {max_turns}")).withColumn("parts", F.expr(f"(n - 1) div {max_turns} + 1"))
-    rows = materialize(rows.select("conv", "part", "parts", "row", "role", "text"), "chat-parts")
-
-    def coded(r: str | None, t: str | None) -> tuple[int, bool]:
-        return ALIASES.get((r or "").strip().lower(), UNKNOWN), not (t or "").strip()
-
-    def chain_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, p), some in _groups(batches, 2):
-            m = product([coded(x[3], x[4]) for x in some]).ravel().tolist()
-            yield pa.RecordBatch.from_pydict({"conv": pa.array([c], pa.int64()), "part": pa.array([p], pa.int64()), "m": pa.array([m], pa.list_(pa.int64()))})
-
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        ms = [np.array(m, np.int64).reshape(4, 4) for m in pdf["m"]]
-        ahead = [END_COST]
-        for m in reversed(ms):
-            ahead.append(np.minimum((m + ahead[-1][None]).min(axis=1), FAR))
-        ahead = ahead[::-1]
-        s, entries, exits = START, [], []
-        for i, m in enumerate(ms):
-            entries.append(s)
-            s = int(np.argmin(m[s] + ahead[i + 1]))
-            exits.append(s)
-        return pd.DataFrame({"conv": pdf["conv"], "part": pdf["part"], "entry": entries, "leave": exits})
-
-    long = rows.filter("parts > 1").repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "row").select("conv", "part", "row", "role", "text")
-    joints = long.mapInArrow(chain_products, "conv long, part long, m array<long>").groupBy("conv").applyInPandas(states, "conv long, part long, entry int, leave int")
-    joined = rows.alias("r").join(joints.alias("j"), F.col("r.conv").eqNullSafe(F.col("j.conv")) & (F.col("r.part") == F.col("j.part")), "left")
-    joined = joined.select("r.conv", "r.part", "r.row", "r.role", "r.text", "r.parts", "j.entry", "j.leave").repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "row")
+    rows = prefix_sums(cut, {"row": F.lit(1), "at": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + TURN_BYTES}, order).drop("_pid")
+    first = rows.groupBy("conv").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    rows = rows.alias("r").join(first.alias("f"), F.col("r.conv").eqNullSafe(F.col("f.conv"))).select("r.*", "f.first", "f.last")
+    rows = rows.withColumn("part", F.expr(f"(at - first) div {part_bytes}")).withColumn("several", F.expr(f"(last - first) div {part_bytes} > 0"))
+    rows = materialize(rows.select("conv", "part", "row", "role", "text", "several"), "chat-parts")
+    whole = rows.filter("NOT several").select("conv", "part", "row", "role", "text", F.lit(0).cast("long").alias("number"), F.lit(True).alias("last"), F.lit(START).alias("entry"), F.array(*[F.lit(int(c)).cast("long") for c in END_COST]).alias("ahead"))
+    long = rows.filter("several")
+    if long.limit(1).count():
+        joints = _joints(long, n)
+        joined = long.alias("r").join(joints.alias("j"), F.col("r.conv").eqNullSafe(F.col("j.conv")) & (F.col("r.part") == F.col("j.part")))
+        whole = whole.unionByName(joined.select("r.conv", "r.part", "r.row", "r.role", "r.text", "j.number", "j.last", "j.entry", "j.ahead"))
+    whole = whole.repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "row")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -195,17 +221,15 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:-1]] + [pa.array(cols[-1], pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for (c, p), some in _groups(batches, 2):
-            entry = some[0][6] or START
-            final = p == some[0][5] - 1
-            leave = some[0][7]
-            cost, path = repair([coded(x[3], x[4]) for x in some], entry, leave)
-            if final and leave is not None:
-                cost += int(END_COST[leave])
-            tail = ENDINGS[path[-1][0]] if final else ()
+        for (c, _), some in _groups(batches, 2):
+            number, last, entry, ahead = some[0][5:]
+            cost, path = repair([_coded(x[3], x[4]) for x in some], entry, tuple(ahead))
+            leave = path[-1][0]
+            tail = ENDINGS[leave] if last else ()
+            cost -= 0 if last else ahead[leave]  # what follows is for the later parts
             empties = sum(len(x[1]) for x in path) + len(tail)
             merged = sum(x[2] == "merge" for x in path)
-            out.append((c, p, len(some), len(some) - merged + empties, merged, sum(x[2] == "relabel" for x in path), empties, cost, render([x[4] for x in some], path, entry, final)))
+            out.append((c, number, len(some), len(some) - merged + empties, merged, sum(x[2] == "relabel" for x in path), empties, cost, render([x[4] for x in some], path, entry, last)))
             size += len(out[-1][-1])
             if size > 2_000_000:
                 yield batch()
@@ -213,7 +237,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         if out:
             yield batch()
 
-    return joined.mapInArrow(write, SCHEMA)
+    return whole.mapInArrow(write, SCHEMA)
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
