@@ -15,28 +15,12 @@ from .common import materialize, new_path, prefix_sums, range_partitioned, read_
 
 #: Weights that repeat exactly after so many slots (or two a source) are planned for one period; all others over the whole stream.
 PERIOD = 1000
-#: A period is planned on the driver and a stream's plan holds a state a source, so the number of sources has a bound; more raises an error.
-MAX_SOURCES = 100_000
-#: Parts of each source that are numbered apart and joined by prefix sums, so that a hot source is no single task.
+#: The driver plans with a state a source, so their number has a bound, which is a parameter; more raise an error.
+MAX_SOURCES = 1_000_000
+#: Least number of parts of each source that are numbered apart and joined by prefix sums, so that a hot source is no single task.
 PARTS = 256
 
 
-def integer_weights(weights: dict, period: int = PERIOD) -> dict:
-    """Weights as positive integers that add up to a period of at least ``period`` slots (largest remainders)."""
-    weights = {k: Fraction(v) for k, v in weights.items()}
-    if not weights or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    period = max(period, 2 * len(weights))
-    total = sum(weights.values())
-    exact = {k: v * period / total for k, v in weights.items()}
-    out = {k: max(1, int(v)) for k, v in exact.items()}
-    for k in sorted(out, key=lambda k: (out[k] - exact[k], str(k))):
-        if sum(out.values()) >= period:
-            break
-        out[k] += 1
-    return out
-
-
 def exact_weights(weights: dict) -> dict:
     """Weights as the least integers in exactly the same proportions."""
     weights = {k: Fraction(v) for k, v in weights.items()}
@@ -87,7 +71,7 @@ def _stream_plan(spark: SparkSession, weights: list[int], blocks: list[int]) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, source: str = "source", key: str = "doc_id", period: int = PERIOD) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, source: str = "source", key: str = "doc_id", period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:
     """Add ``block`` (number within the source), ``slot`` and ``position`` (place in the mixed stream, gapless from 0).
 
     Each source's rows are dealt in a fixed pseudo-random order (md5 of ``key``, then ``key``) into blocks of ``block``
@@ -99,17 +83,19 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
     A null source is a source of its own; rows with equal or null keys are dealt in any order among themselves but each
     has a place; an empty table gives an empty result; other columns pass through, though columns of the three added names
     are replaced. Weights that repeat exactly after max(period, 2 x sources) slots or fewer are planned for one
-    period on the driver, which is broadcast; others over the whole stream, block by block on the driver, written in pieces and joined. At
-    most MAX_SOURCES sources.
+    period on the driver, which is broadcast; others over the whole stream, block by block on the driver, written in pieces and joined
+    (about a million blocks a second: choose larger blocks for larger tables). A source of many rows is numbered in as many parts as
+    there are shuffle partitions. More than ``max_sources`` sources raise an error.
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "position")
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tag = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.withColumn("_tag", tag).withColumn("_part", F.pmod(F.conv(F.substring("_tag", 1, 4), 16, 10).cast("int"), F.lit(PARTS)))
+    rows = docs.withColumn("_tag", tag).withColumn("_part", F.shiftright(F.conv(F.substring("_tag", 1, 6), 16, 10).cast("long") * parts, 24))
     counts = materialize(rows.groupBy(F.col(source).alias("_src"), "_part").count(), "mix-counts")
-    sizes = {r[0]: r[1] for r in counts.groupBy("_src").agg(F.sum("count")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r[0]: r[1] for r in counts.groupBy("_src").agg(F.sum("count")).limit(max_sources + 1).collect()}
+    if len(sizes) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     if not sizes:
         return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")])
     shares = exact_weights({k: weights.get(k, min(weights.values())) for k in sizes} if weights else sizes)
@@ -140,12 +126,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 4, so
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, mixed so that each source's weight is the square root of its share (temperature 2).
+    """All documents, mixed so that each source's target weight is the square root of its rows (temperature 2), in thousandths.
 
-    The query's SQL defines the target weights as these roots rounded to whole slots of PERIOD, so they are rounded here,
-    before the mixing, which then keeps to them exactly.
+    The weights are kept to exactly: nothing is rounded to a period.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     sizes = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
-    weights = {r[0]: Fraction(int(round(r[1] ** 0.5 * 1000))) for r in sizes}
-    return mix_sources(docs, integer_weights(weights) if weights else None)
+    return mix_sources(docs, {r[0]: Fraction(round(r[1] ** 0.5 * 1000)) for r in sizes} or None)

@@ -57,27 +57,24 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_
 
 OP9_SQL = """
 WITH RECURSIVE sizes AS (
-  SELECT source, round(sqrt(count(*)) * 1000)::BIGINT AS v FROM documents GROUP BY source
-), period AS (
-  SELECT greatest(1000, 2 * count(*))::BIGINT AS p, sum(v)::BIGINT AS total FROM sizes
-), floors AS (
-  SELECT source, greatest(1, v * p // total) AS a, greatest(1, v * p // total) * total - v * p AS over, p FROM sizes, period
-), shares AS (
-  SELECT source, a + CASE WHEN row_number() OVER (ORDER BY over, source) <= p - sum(a) OVER () THEN 1 ELSE 0 END AS a, p, row_number() OVER (ORDER BY source) AS i FROM floors
-), all_shares AS (
-  SELECT list(a ORDER BY i) AS s, any_value(p) AS p FROM shares
+  SELECT source, count(*) AS n, round(sqrt(count(*)) * 1000)::BIGINT AS v FROM documents GROUP BY source
+), unit AS (
+  SELECT list_reduce(list(v), lambda x, y: gcd(x, y)) AS g FROM sizes
+), whole AS (
+  SELECT list(v // g ORDER BY source) AS s, list((n + 3) // 4 ORDER BY source) AS b, sum(v // g)::BIGINT AS p, sum(v // g) <= greatest(1000, 2 * count(*)) AS repeats FROM sizes, unit
 ), plan AS (
-  SELECT -1::BIGINT AS t, 0::BIGINT AS i, 0::BIGINT AS k, list_transform(s, lambda x: 0::BIGINT) AS done, s, p FROM all_shares
+  SELECT -1::BIGINT AS t, 0::BIGINT AS i, 0::BIGINT AS k, list_transform(s, lambda x: 0::BIGINT) AS done, s, b, p, repeats,
+    list_max(list_transform(range(1, len(s) + 1), lambda j: (b[j] * p + s[j] - 1) // s[j])) AS last FROM whole
   UNION ALL
-  SELECT t, i, done[i] AS k, list_transform(range(1, len(s) + 1), lambda j: done[j] + CASE WHEN j = i THEN 1 ELSE 0 END) AS done, s, p FROM (
-    SELECT t + 1 AS t, done, s, p, list_min(list_transform(range(1, len(s) + 1), lambda j:
-      CASE WHEN done[j] < s[j] AND done[j] * p // s[j] <= t + 1 THEN ((done[j] + 1) * p + s[j] - 1) // s[j] * 1000000 + j ELSE 9000000000000000 END)) % 1000000 AS i
-    FROM plan WHERE t + 1 < p)
+  SELECT t, i, done[i] AS k, list_transform(range(1, len(s) + 1), lambda j: done[j] + CASE WHEN j = i THEN 1 ELSE 0 END) AS done, s, b, p, repeats, last FROM (
+    SELECT t + 1 AS t, done, s, b, p, repeats, last, list_min(list_transform(range(1, len(s) + 1), lambda j:
+      CASE WHEN (repeats OR done[j] < b[j]) AND done[j] * p // s[j] <= t + 1 THEN ((done[j] + 1) * p + s[j] - 1) // s[j] * 1000000 + j ELSE 9000000000000000 END)) % 1000000 AS i
+    FROM plan WHERE t + 1 < last)
 ), ranked AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(md5(doc_id::VARCHAR), 3, 2), md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM documents
+  SELECT doc_id, source, dense_rank() OVER (ORDER BY source) AS i,
+    row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents
 ), placed AS (
-  SELECT doc_id, ranked.source, r, r // 4 AS block, r // 4 // a * shares.p + plan.t AS slot
-  FROM ranked JOIN shares ON ranked.source IS NOT DISTINCT FROM shares.source JOIN plan ON plan.i = shares.i AND plan.k = r // 4 % a AND plan.t >= 0
+  SELECT doc_id, source, r, r // 4 AS block, plan.t AS slot FROM ranked JOIN plan ON plan.i = ranked.i AND plan.k = r // 4 AND plan.t >= 0
 )
 SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM placed
 """

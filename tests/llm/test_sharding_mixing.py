@@ -2,10 +2,12 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kmerspark.llm.mixing import integer_weights, mix_sources, pfair_period, pfair_stream
+from kmerspark.llm.mixing import exact_weights, mix_sources, op9_query, pfair_period, pfair_stream
+from kmerspark.llm.oracles import OP9_SQL
 from kmerspark.llm.sharding import OP4_SQL, op4_query, shard_by_bytes
 
 
@@ -51,9 +53,8 @@ def test_op4_nulls_and_unicode(spark, tmp_path):
 
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 500, "b": 499, "c": 1}, {str(i): i + 1 for i in range(30)}])
 def test_schedule_keeps_every_prefix_within_a_block(weights):
-    w = integer_weights(weights)
+    w = exact_weights(weights)
     total, got = sum(w.values()), dict.fromkeys(w, 0)
-    assert total >= 1000
     for t, (s, k) in enumerate(pfair_period(w), 1):
         assert k == got[s]
         got[s] += 1
@@ -61,11 +62,12 @@ def test_schedule_keeps_every_prefix_within_a_block(weights):
     assert got == w
 
 
-def test_integer_weights():
-    with pytest.raises(ValueError):
-        integer_weights({"a": 0})
-    w = integer_weights({i: 1 for i in range(3000)})
-    assert min(w.values()) >= 1 and sum(w.values()) >= 6000
+def test_exact_weights():
+    for bad in ({"a": 0}, {"a": -1, "b": 2}, {}):
+        with pytest.raises(ValueError):
+            exact_weights(bad)
+    assert exact_weights({"a": Fraction(1, 3), "b": Fraction(1, 6), "c": 0.25}) == {"a": 4, "b": 2, "c": 3}
+    assert exact_weights({i: 7 for i in range(3000)}) == dict.fromkeys(range(3000), 1)
 
 
 def test_mix_keeps_every_row_and_the_shares(spark):
@@ -77,7 +79,7 @@ def test_mix_keeps_every_row_and_the_shares(spark):
         assert [x["position"] for x in got] == list(range(len(rows)))
         assert sorted((x["doc_id"] is None, x["doc_id"] or 0, str(x["source"])) for x in got) == sorted((x[0] is None, x[0] or 0, str(x[1])) for x in rows)
         sizes = {s: sum(x[1] == s for x in rows) for s in {x[1] for x in rows}}
-        w = integer_weights({s: weights.get(s, min(weights.values())) for s in sizes} if weights else sizes)
+        w = exact_weights({s: weights.get(s, min(weights.values())) for s in sizes} if weights else sizes)
         blocks = sorted({(x["slot"], x["source"], x["block"]) for x in got}, key=lambda b: b[0])
         alive = min(max(b[0] for b in blocks if b[1] == s) for s in sizes)  # until the first source ends
         have = dict.fromkeys(sizes, 0)
@@ -118,3 +120,32 @@ def test_mix_keeps_to_shares_that_a_period_does_not_divide(spark):
         for x in rows:
             have[x["source"]] += 1
             assert all(abs(have[s] * total - sizes[s] * (x["slot"] + 1)) < total for s in sizes)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 50, "b": 50, "c": 9}, {"a": 401, "b": 37, "c": 9, None: 3, "d": 1}])
+def test_op9_on_unequal_sources_equals_sql(spark, tmp_path, sizes):
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "source", "block", "slot", "position"]
+    got = op9_query(spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({OP9_SQL})").fetchall(), key=str) and len(got) == len(rows)
+    # every prefix of the stream is within a block of the unrounded target, until the first source ends
+    target = {s: n**0.5 for s, n in sizes.items()}
+    at = {(x["source"], x["block"]): x["slot"] for x in got}
+    alive = min(max(t for (s, _), t in at.items() if s == x) for x in sizes)
+    have = dict.fromkeys(sizes, 0)
+    for (s, _), t in sorted(at.items(), key=lambda x: x[1]):
+        if t <= alive:
+            have[s] += 1
+            assert all(abs(have[x] - target[x] / sum(target.values()) * (t + 1)) < 1.01 for x in sizes)
+
+
+def test_parts_do_not_change_the_order(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else "a") for i in range(400)], "doc_id long, source string")
+    one = sorted(map(tuple, mix_sources(df).collect()))
+    monkeypatch.setattr("kmerspark.llm.mixing.PARTS", 3)
+    assert sorted(map(tuple, mix_sources(df).collect())) == one
+    with pytest.raises(ValueError):
+        mix_sources(df, max_sources=1)
