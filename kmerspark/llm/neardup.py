@@ -82,7 +82,7 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, node, text_hash, n_shingles, bands) of every row; ``node`` names the set of shingles."""
+    """(doc_id, node, text_hash, n_shingles, bands) of every row; ``node`` names the set of shingles, ``text_hash`` is Spark's of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -90,11 +90,13 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
-                rows.append((_node(s), xxhash.xxh64_intdigest((t or "").encode()) >> 1, len(s), signature(s)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), bands], names=["doc_id", "node", "text_hash", "n_shingles", "bands"])
+                rows.append((_node(s), len(s), signature(s)))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
+            node, size = (pa.array([r[i] for r in rows], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), node, b.column(2), size, bands], names=["doc_id", "node", "text_hash", "n_shingles", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, node long, text_hash long, n_shingles long, bands array<long>")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text_or_empty(text)).alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id long, node long, text_hash long, n_shingles long, bands array<long>")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
@@ -175,8 +177,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     own, which gives counts and a spanning forest of its links, not the links.
 
     Null and empty texts, and texts without words, have the empty set, and equal sets are linked. Repeated rows count as
-    documents; a null doc_id is kept, and is a class id only if no document of the class has one. An empty table gives an empty result.
+    documents; a null doc_id is kept, and is a class id only if no document of the class has one. Very long texts are
+    read whole, and one with more shingles than a block holds is a block of its own. An empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
+    return _joined(docs, key, text).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
+def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of :func:`jaccard_join` with the text's hash (``text_hash``) and the name of the class (``comp``)."""
     signed = materialize(sign(docs, key, text), "neardup-signed")
     texts = signed.groupBy("node", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     nodes = materialize(texts.groupBy("node").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "neardup-nodes")
@@ -184,6 +193,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # a node's bands come once for each task and node, not for each copy
     banded = signed.filter("n_shingles > 0").select("node", F.explode("bands").alias("bucket")).distinct()
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    leaders = materialize(leaders, "neardup-leaders")  # a table, so that a hot bucket's rows can be split in the join
     edges = banded.join(leaders, "bucket").filter("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     clusters = materialize(connected_components(edges, "neardup-clusters"), "neardup-clusters")
     members = nodes.join(clusters, "node")
@@ -229,21 +239,28 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     named = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     named = named.join(ids, "comp").select(
-        "node", "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), (F.col("texts") - 1 + F.coalesce("link_texts", F.lit(0))).alias("n_text_links")
+        "node", "comp", "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), (F.col("texts") - 1 + F.coalesce("link_texts", F.lit(0))).alias("n_text_links")
     )
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "n_text_links")
+    named = materialize(named, "neardup-named")  # a table, so that the rows of a node of many copies can be split in the join
+    return signed.select("doc_id", "node", "text_hash").join(named, "node")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the one with the least doc_id.
+    """One row of each class: the one with the least doc_id (nulls last), of equal ids the one whose text hashes lowest.
 
-    Of repeated rows of it one stays; if an id is shared by texts of different classes, those that it leads stay.
+    Rows are told by id and text, so near copies that share an id, or have none, go too; of repeated rows one stays. Null and
+    empty texts are one class. An empty table gives an empty result; other columns pass through, whatever their names.
     """
-    joined = materialize(jaccard_join(docs, key, text).select("doc_id", "class_id"), "neardup-joined")
-    leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = joined.groupBy("doc_id").agg(F.max(leads).alias("leads"), F.count(F.lit(1)).alias("rows"))
-    kept = docs.join(gone.filter(~F.col("leads")).select(F.col("doc_id").alias("_gone")), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    return kept.dropDuplicates([key, text]) if gone.filter("leads and rows > 1").limit(1).count() else kept
+    joined = materialize(_joined(docs, key, text).select("doc_id", "text_hash", "comp"), "neardup-joined")
+    rows = joined.groupBy("comp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    leads = rows.groupBy("comp").agg(F.min(order).alias("lead"), F.min_by("rows", order).alias("rows"))
+    leads = materialize(leads, "neardup-leads")  # a table, so that the rows of a large class can be split in the join
+    gone = joined.join(leads.select("comp", "lead"), "comp").filter(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))))
+    gone = gone.select("doc_id", "text_hash").distinct()
+    mine = docs[key].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["text_hash"])
+    kept = docs.join(gone, mine, "left_anti")
+    return kept.dropDuplicates([key, text]) if leads.filter("rows > 1").limit(1).count() else kept
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

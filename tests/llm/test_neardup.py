@@ -59,6 +59,19 @@ def test_deduplication(spark, docs_of):
     assert drop_near_copies(docs_of([])).collect() == []
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark, docs_of):
+    r = random.Random(6)
+    a, b, c = (words(r, 100) for _ in range(3))
+    near = lambda w, i: " ".join([*w[:i], "zzz", *w[i + 1 :]])
+    rows = [(None, " ".join(a)), (None, near(a, 3)), (7, near(a, 50)), (None, " ".join(b)), (None, near(b, 9)), (7, " ".join(c)), (7, near(c, 4)), (7, near(c, 4)), (None, None), (None, ""), (7, "...")]
+    texts = [t for _, t in rows]
+    kept = [(x["doc_id"], x["text"]) for x in drop_near_copies(docs_of(rows)).collect()]
+    classes = brute(texts)
+    assert len(kept) == len({k[0] for k in classes.values()}) == 4
+    assert sorted(classes[texts.index(t)][0] for _, t in kept) == sorted({k[0] for k in classes.values()})
+    assert (7, near(a, 50)) in kept and (7, "...") in kept
+
+
 def test_banding_reaches_its_recall():
     bands, rows = choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
