@@ -16,8 +16,10 @@ from .common import materialize, read_table, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most (those whose key hashes lowest).
 MAX_TRAIN = 20_000
-#: Features that the model knows, at most: the ones most associated with the toxic label.
-MAX_FEATURES = 4_000
+#: A feature is known if at least so many toxic documents of the sample have it, and so many standard deviations more than clean ones would lead to expect.
+MIN_DOCS, MIN_Z = 4, 4.2
+#: Labels are grades from 0 to this.
+MAX_GRADE = 9
 #: Word-start lengths that count as features beside whole words.
 STARTS = range(3, 9)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,46 +72,60 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.cuts[None, :])
 
 
+def _cuts(p: np.ndarray, width: int) -> np.ndarray:
+    """The first cut plus positive gaps, so that cuts stay in order."""
+    return p[width] + np.concatenate(([0.0], np.cumsum(np.exp(np.clip(p[width + 1 :], -9, 9)))))
+
+
+def log_loss(p: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, width: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades plus the ridge, and its gradient; ``rows`` are (row, feature, value)."""
+    (r, c, v), n, top = rows, len(grades), len(p) - width
+    w, cuts = p[:width], _cuts(p, width)
+    score = np.bincount(r, v * w[c], n)
+    above = _sigmoid(score[:, None] - cuts[None, :])
+    edges = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
+    hi, lo = edges[np.arange(n), grades], edges[np.arange(n), grades + 1]
+    prob = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
+    g_cut = np.bincount(grades[grades > 0] - 1, d_hi[grades > 0], top) / n - np.bincount(grades[grades < top], d_lo[grades < top], top) / n
+    gaps = np.exp(np.clip(p[width + 1 :], -9, 9))
+    tails = np.cumsum(g_cut[::-1])[::-1]
+    gradient = np.concatenate([np.bincount(c, v * ((d_lo - d_hi) / n)[r], width) + ridge * w, [tails[0]], tails[1:] * gaps])
+    return float(-np.log(prob).mean() + ridge / 2 * (w @ w)), gradient
+
+
 def fit_ordinal(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, features: list[str], steps: int = 800, ridge: float = 2e-3) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by full-batch Adam. Cuts are the first one plus positive gaps, so they stay in order."""
+    """Maximum likelihood with a ridge, by full-batch Adam."""
     width, top = len(features), int(grades.max()) if len(grades) else 0
     if top == 0:  # nothing to learn from: no document is over grade 0
         return OrdinalModel(features, np.zeros(width), np.array([40.0]))
-    n = len(rows)
-    r = np.repeat(np.arange(n), [len(i) for i, _ in rows])
-    c = np.concatenate([np.asarray(i, np.int64) for i, _ in rows])
-    v = np.concatenate([np.asarray(x) for _, x in rows])
+    flat = (
+        np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]),
+        np.concatenate([np.asarray(i, np.int64) for i, _ in rows]),
+        np.concatenate([np.asarray(x, np.float64) for _, x in rows]),
+    )
     p = np.zeros(width + top)
     p[width] = 2.0
     m, s = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        w, cuts = p[:width], p[width] + np.concatenate(([0.0], np.cumsum(np.exp(np.clip(p[width + 1 :], -9, 9)))))
-        score = np.bincount(r, v * w[c], n)
-        above = _sigmoid(score[:, None] - cuts[None, :])
-        edges = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
-        hi, lo = edges[np.arange(n), grades], edges[np.arange(n), grades + 1]
-        prob = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
-        g_score = -(d_hi - d_lo) / n
-        g_cut = np.zeros(top)
-        np.add.at(g_cut, grades[grades > 0] - 1, d_hi[grades > 0] / n)
-        np.add.at(g_cut, grades[grades < top], -d_lo[grades < top] / n)
-        gaps = np.exp(np.clip(p[width + 1 :], -9, 9))
-        tails = np.cumsum(g_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(c, v * g_score[r], width) + ridge * w, [tails[0]], tails[1:] * gaps])
+        _, g = log_loss(p, flat, grades, width, ridge)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
-    return OrdinalModel(features, p[:width], p[width] + np.concatenate(([0.0], np.cumsum(np.exp(np.clip(p[width + 1 :], -9, 9))))))
+    return OrdinalModel(features, p[:width], _cuts(p, width))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> OrdinalModel:
     """Fit the model on at most ``max_train`` labelled documents.
 
-    Labels are 0 or 1; grade 0 is a clean document, grades 1 and 2 are the toxic ones with fewer and with more toxic
-    features per word than their median. Features are screened by their document counts in both classes, on the executors.
-    Unlabelled documents, null labels and labels without a document are ignored.
+    Labels are grades of severity, 0 for a clean document up to MAX_GRADE. Where they only say 0 or 1, grades 1 and 2 are made of
+    the toxic documents with fewer and with more toxic features a word than their median. Features are screened by their document
+    counts in both classes, on the executors; all that pass (``min_docs``, ``min_z``) are known, and the sample bounds their number.
+    Unlabelled documents, null labels, labels that are no grades, and labels without a document are ignored; of several labels of a
+    document the highest counts. Whole texts are read; null and empty ones have no features; an empty table of either kind gives a
+    model that takes nothing for toxic. Other columns are ignored, whatever their names.
     """
-    picked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    graded = F.col(label).between(0, MAX_GRADE) & F.col(key).isNotNull()
+    picked = labels.filter(graded).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64(key), key).limit(max_train)
     sample = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(picked), key).select("y", "text", F.xxhash64(F.col(key)).alias("h"))
     sample = materialize(sample, "toxicity-sample")
@@ -121,17 +137,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 counts: dict[str, list[int]] = {}
                 for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for f in {f for w in set(words(t)) for f in features_of_word(w)}:
-                        counts.setdefault(f, [0, 0])[y] += 1
+                        counts.setdefault(f, [0, 0])[y > 0] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["f", "clean", "toxic"])
 
     totals = sample.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in totals}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+    n1, n0 = (sum(r["count"] for r in totals if (r["y"] > 0) == toxic) for toxic in (True, False))
     if not n1 or not n0:
         return OrdinalModel([], np.zeros(0), np.array([40.0 if n0 or not n1 else -40.0]))
     per = sample.select("y", "text").mapInArrow(present, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     expected = (F.col("clean") + 0.5) * (n1 / n0)
-    best = per.filter("toxic >= 4").withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1)).filter("z >= 4.2").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+    screened = per.filter(F.col("toxic") >= min_docs).withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1)).filter(F.col("z") >= min_z)
+    best = screened.select("f").orderBy(F.desc("z"), "f").collect()  # of at most max_train documents
     features = [r["f"] for r in best]
     known = {f: i for i, f in enumerate(features)}
 
@@ -147,10 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = sample.mapInArrow(counted, "y int, f array<int>, c array<int>, n long, h long").orderBy("h", "n").collect()  # at most max_train rows of known features
     rows = [_values(dict(zip(r["f"], r["c"], strict=True)), r["n"]) for r in got]
     dense = np.array([sum(r["c"]) / max(r["n"], 1) for r in got])
-    y = np.array([r["y"] for r in got])
-    grades = np.where(y == 1, 1 + (dense > np.median(dense[y == 1])), 0)
+    grades = np.array([r["y"] for r in got])
+    if grades.max() == 1:
+        grades = np.where(grades == 1, 1 + (dense > np.median(dense[grades == 1])), 0)
     model = fit_ordinal(rows, grades, features)
-    model.threshold = best_threshold(model.above(rows)[:, 0], y == 1)
+    model.threshold = best_threshold(model.above(rows)[:, 0], grades > 0)
     return model
 
 

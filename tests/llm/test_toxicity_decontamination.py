@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -66,6 +67,59 @@ def test_gradient_fit_orders_grades():
     assert expected[0] < 0.3 and 0.6 < expected[1] < 1.4 and expected[2] > 1.6
 
 
+def test_likelihood_and_gradient_equal_a_plain_version():
+    r = np.random.default_rng(2)
+    width, top, n = 6, 3, 40
+    dense = r.random((n, width)) * (r.random((n, width)) < 0.5)
+    grades = r.integers(0, top + 1, n)
+    row, col = np.nonzero(dense)
+    p = r.normal(0, 0.5, width + top)
+
+    def plain(p):
+        cuts, total = [p[width]], 0.0
+        for g in p[width + 1 :]:
+            cuts.append(cuts[-1] + np.exp(g))
+        for x, y in zip(dense, grades):
+            up = [1.0] + [1 / (1 + np.exp(-(sum(a * b for a, b in zip(p, x)) - c))) for c in cuts] + [0.0]
+            total -= np.log(up[y] - up[y + 1])
+        return total / n + 0.01 / 2 * sum(w * w for w in p[:width])
+
+    loss, gradient = X.log_loss(p, (row, col, dense[row, col]), grades, width, 0.01)
+    assert loss == pytest.approx(plain(p))
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-5
+        assert gradient[i] == pytest.approx((plain(p + step) - plain(p - step)) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_scores_equal_a_plain_version(spark):
+    rows = labelled(300, 7) + [(900, "vilest " * 60_000 + "river", 1), (901, None, 0)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t, _ in rows], "doc_id long, text string, y int, f string")
+    model = X.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    for x in X.score(docs, model).collect():
+        found = re.findall(r"[^\W\d_]+", (x["text"] or "").lower())
+        counts = {}
+        for w in found:
+            for f in [w + "$"] + [w[:n] for n in range(3, 9) if n <= len(w)]:
+                if f in model.features:
+                    counts[f] = counts.get(f, 0) + 1
+        z = sum(model.weights[model.features.index(f)] * c / (c + len(found) / 100) ** 0.5 for f, c in counts.items())
+        above = [1 / (1 + np.exp(-(z - c))) for c in model.cuts]
+        assert x["severity"] == pytest.approx(sum(above), abs=1e-9) and x["toxic"] == (above[0] >= model.threshold)
+
+
+def test_labels_that_are_grades(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(CALM) for _ in range(60)) + " grubby" * (3 * g), g) for i in range(400) for g in [r.randrange(4)]]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] + [(0, 99), (1, -5), (2, None), (None, 3), (10**6, 3)], "doc_id long, toxic int")
+    model = X.train(docs, labels)
+    assert len(model.cuts) == 3 and list(model.cuts) == sorted(model.cuts)
+    got = {x["doc_id"]: x["severity"] for x in X.score(docs, model).collect()}
+    mean = [np.mean([got[i] for i, _, g in rows if g == k]) for k in range(4)]
+    assert mean[0] < 0.3 and all(b > a + 0.3 for a, b in zip(mean, mean[1:]))
+
+
 def brute_tiles(a, b, least):
     fa, fb, total = [True] * len(a), [True] * len(b), 0
     while True:
