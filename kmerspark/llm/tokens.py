@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import string
 import uuid
 import zlib
@@ -23,11 +24,16 @@ DTYPES = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 END_ID = 2
 
 
+#: A tokenizer is taken for one that treats words apart only if it treats this text so.
+SAMPLE = "Words apart: some_thing, (else) it's  won't\n\n two  blanks\tand a tab, 3.14 x-y ÄÖ ñ 日本語 😀 http://a.b/c?d=e\n end. A a"
+
+
 class WordEncoder:
     """Encodes texts through a word table filled by the tokenizer.
 
-    The tokenizer drops white space and never lets a token span it, so a text's ids are those of its parts between
-    blanks and line feeds, in order; equal parts are encoded once. Plain words (letters that stay letters in lower case,
+    A tokenizer that drops white space and never lets a token span it gives a text the ids of its parts between
+    blanks and line feeds, in order; equal parts are encoded once. (Whether it does so is seen by its vocabulary, which must hold no white space or
+    mark of it, and by a sample text; with any other tokenizer whole texts are encoded.) Plain words (letters that stay letters in lower case,
     perhaps with ASCII punctuation at the end, which it splits off whole) are encoded many at a time and told apart by word numbers.
     """
 
@@ -38,6 +44,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.table: dict[str, bytes] = {"": b""}
+        marks = re.compile(r"\s|[\u0120\u010a\u2581]")  # a byte-level blank or line feed, or a piece's leading blank
+        parts = [p for p in SAMPLE.replace("\n", " ").split(" ") if p]
+        longer = (t for t in (t.removesuffix("</w>") for t in self.tokenizer.get_vocab()) if len(t) > 1)  # single symbols join nothing
+        self.by_words = not any(marks.search(t) for t in longer) and b"".join(map(self._one, parts)) == self._one(SAMPLE)
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, DTYPES[self.width]).tobytes()
@@ -71,6 +81,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
+        if not self.by_words:
+            return [self._ids(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*parts)
         new = words.difference(self.table)
@@ -127,8 +139,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[Colum
     ids of all files before it: the prefix sum of the files' totals. A document's global offset is base + offset.
 
     A task that runs again writes files of other names; the manifest, written last, names the ones that count. A null
-    text is an empty document (just ``end_id``); equal keys and repeated rows keep a document each; an empty table
-    gives an empty manifest.
+    text is an empty document (just ``end_id``); equal keys and repeated rows keep a document each, and rows that are equal in
+    ``order`` come in any order; a very long text is encoded whole, with little else beside it; an empty table
+    gives an empty manifest; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -170,19 +183,29 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[Colum
     return written.select("*", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
 
-def open_tokens(folder: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, keys) of one file set, memory-mapped where the store is a file system of this machine."""
+class _Remote:
+    """Numbers of a file in a store that can't be mapped; slices are read when asked for."""
+
+    def __init__(self, file, dtype: np.dtype) -> None:
+        self.file, self.dtype, self.n = file, dtype, file.size() // dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        a, b, _ = some.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(b - a, 0) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
+def open_tokens(folder: str, name: str, width: int) -> tuple:
+    """(ids, offsets, keys) of one file set, memory-mapped where the store is a file system of this machine, else read by slices."""
     fs, path = _filesystem(folder)
     import pyarrow.fs as pafs
 
     out = []
     for kind, dtype in (("ids", DTYPES[width]), ("offsets", np.dtype("<u8")), ("keys", np.dtype("<i8"))):
         place = f"{path}/{kind}-{name}.bin"
-        if isinstance(fs, pafs.LocalFileSystem):
-            out.append(np.memmap(place, dtype, "r"))
-        else:
-            with fs.open_input_file(place) as f:
-                out.append(np.frombuffer(f.read(), dtype))
+        out.append(np.memmap(place, dtype, "r") if isinstance(fs, pafs.LocalFileSystem) else _Remote(fs.open_input_file(place), dtype))
     return tuple(out)
 
 
@@ -196,7 +219,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 ids, offsets, keys = open_tokens(folder, m["name"], m["width"])
                 for i in range(0, len(keys), 5000):
                     at = offsets[i : i + 5001].astype(np.int64)
-                    wide = ids[at[0] : at[-1]].astype("<u4").view(np.uint8).data
+                    wide = ids[int(at[0]) : int(at[-1])].astype("<u4").view(np.uint8).data
                     first = at[0]
                     crc = [zlib.crc32(wide[4 * (a - first) : 4 * (e - first)]) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     k = keys[i : i + 5000]

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerspark.llm.common import new_path
-from kmerspark.llm.fingerprints import fingerprint, fingerprint_neighbours, likeness, next_in_order
-from kmerspark.llm.tokens import END_ID, WordEncoder, open_tokens, read_tokens, tokenizer_path, write_tokens
+from kmerspark.llm.fingerprints import fingerprint, fingerprint_neighbours, likeness, next_in_order, op7_query
+from kmerspark.llm.tokens import END_ID, WordEncoder, _Remote, op8_query, open_tokens, read_tokens, tokenizer_path, write_tokens
+
+SF = "/root/testdata/sf0.001"
 
 TEXTS = ["", "a", "ab", "héllo 😀 wörld", "x" * 3000, "The quick brown fox. " * 40, "the same", "the same", None]
 
@@ -52,6 +54,65 @@ def test_changes_stay_local_and_strangers_differ():
     assert near.mean() > 0.9 and likeness(list(zip(fp, fp[1:]))).mean() < 0.05
 
 
+def plain_fingerprint(data):
+    """The fingerprint once more, a byte at a time."""
+    if not data:
+        return "4::"
+    mask, hashes = (1 << 64) - 1, []
+    for i in range(len(data)):
+        last = (bytes(7) + data[: i + 1])[-7:]
+        h = int.from_bytes(last, "little") * 0x9E3779B97F4A7C15 & mask
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+        hashes.append(h ^ h >> 32)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(block):
+        chunks, total, count = [], 0, 0
+        for i, h in enumerate(hashes):
+            total, count = (total + h) & mask, count + 1
+            if h % block == 0 and len(chunks) < 63:
+                chunks.append(total)
+                total, count = 0, 0
+        if count:
+            chunks.append(total)
+        return "".join(symbols[(c * 0x9E3779B97F4A7C15 & mask) >> 58] for c in chunks)
+
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    while block > 4 and sum(h % block == 0 for h in hashes) < 31:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprint_equals_a_plain_version():
+    r = random.Random(4)
+    some = [t.encode() for t in TEXTS if t] + [some_text(r, r.randrange(1, 700)).encode() for _ in range(60)] + [bytes(r.randrange(256) for _ in range(5000)), b"ab" * 4000, some_text(r, 6000).encode()]
+    for data in some:
+        assert fingerprint(data) == plain_fingerprint(data), data[:40]
+
+
+def test_query_fingerprints_equal_a_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {x["doc_id"]: x for x in op7_query(spark, SF).collect()}
+    order = sorted(rows, key=lambda x: -x["doc_id"])
+    assert len(got) == len(rows)
+    for a, b in zip(order, order[1:] + order[:1]):
+        t, nxt = a["text"] or "", b["text"] or ""
+        edited = (t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()
+        x = got[a["doc_id"]]
+        assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited).hexdigest())
+        if len(t) < 3000:
+            assert (x["fingerprint"], x["edited_fingerprint"]) == (plain_fingerprint(t.encode()), plain_fingerprint(edited))
+
+
+def test_very_long_text(spark, docs_of):
+    r = random.Random(5)
+    long = some_text(r, 400_000)
+    rows = {x["doc_id"]: x for x in fingerprint_neighbours(docs_of([long, long + " end", "short"])).collect()}
+    assert rows[0]["n_chars"] == len(long) and rows[1]["near_next"] > 0.9 and len(rows[0]["fingerprint"].split(":")[1]) <= 64
+
+
 @pytest.mark.parametrize("pieces", [1, 2, 5, 50])
 def test_neighbours_meet(spark, docs_of, pieces):
     ids = [5, 3, 900, -4, 17, 2, 1000000, 44]
@@ -100,6 +161,45 @@ def test_word_table_equals_the_tokenizer():
         assert np.frombuffer(raw, "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("levels", [True, False])
+def test_other_tokenizers_encode_whole_texts(spark, docs_of, tmp_path, levels):
+    """A tokenizer whose tokens take in the blank before a word, and one that does not."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocabulary = {c: i + 3 for i, c in enumerate(alphabet if levels else sorted({c for t in ODD for c in t if not c.isspace()}))}
+    merges = [(" ".replace(" ", "\u0120"), "a")] if levels else []
+    vocabulary |= {"".join(m): 900 + i for i, m in enumerate(merges)}
+    t = Tokenizer(models.BPE(vocabulary, merges))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False) if levels else pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    encoder = WordEncoder(path)
+    assert encoder.by_words is not levels
+    texts = [x for x in ODD if levels or not any(c.isspace() and c not in " \n" for c in x)] + ["a a  a", ""]
+    for x, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u2" if encoder.width == 2 else "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_query_equals_the_tokenizer(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {x["doc_id"]: (x["start"], x["n_tokens"], x["ids_crc32"]) for x in op8_query(spark, SF).collect()}
+    tokenizer, at = WordEncoder(tokenizer_path()).tokenizer, 0
+    assert len(got) == len(rows)
+    for x in rows:
+        ids = tokenizer.encode(x["text"] or "", add_special_tokens=False).ids + [END_ID]
+        assert got[x["doc_id"]] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_slices_of_a_file_that_is_not_mapped(tmp_path):
+    import pyarrow.fs as pafs
+
+    np.arange(1000, dtype="<u4").tofile(tmp_path / "x")
+    some = _Remote(pafs.LocalFileSystem().open_input_file(str(tmp_path / "x")), np.dtype("<u4"))
+    assert len(some) == 1000 and some[5:8].tolist() == [5, 6, 7] and some[998:2000].tolist() == [998, 999] and some[7:7].tolist() == []
+
+
 @pytest.mark.parametrize("texts", [[], TEXTS, [(None, "a b"), (7, "c"), (7, "c"), (-3, ODD[3])], ODD * 20])
 def test_files_round_trip(spark, docs_of, texts):
     df, folder = docs_of(texts), new_path(spark, "tokens")
