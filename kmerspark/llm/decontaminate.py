@@ -156,9 +156,12 @@ def telling_seeds(names: np.ndarray, common: np.ndarray, n_words: int, threshold
     return np.unique(names[keep])
 
 
-def _probes(names: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for j in range(PROBES):
-        yield _mixed(names + np.uint64(j + 1) * np.uint64(_BASE)) & np.uint64(bits - 1)
+#: What is added to a seed for each probe.
+_TURNS = [np.uint64((j + 1) * _BASE % (1 << 64)) for j in range(PROBES)]
+
+
+def _probe(names: np.ndarray, turn: np.uint64, bits: int) -> np.ndarray:
+    return _mixed(names + turn) & np.uint64(bits - 1)
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
@@ -168,7 +171,7 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.concatenate(list(_probes(b.column(0).to_numpy().view(np.uint64), bits)))
+            at = np.concatenate([_probe(b.column(0).to_numpy().view(np.uint64), turn, bits) for turn in _TURNS])
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     rows = wanted.select("seed").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -179,10 +182,10 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
 def _in_filter(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The distinct seeds that the filter may hold."""
-    for j in range(PROBES):
+    for turn in _TURNS:
         if not len(names):
             break
-        at = _mixed(names + np.uint64(j + 1) * np.uint64(_BASE)) & np.uint64(64 * len(words) - 1)
+        at = _probe(names, turn, 64 * len(words))
         names = names[(words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
     return np.unique(names)
 

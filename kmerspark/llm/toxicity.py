@@ -191,18 +191,18 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: f
     threshold = model.threshold if threshold is None else threshold
     known = {f: i for i, f in enumerate(model.features)}
     kept = docs.drop("severity", "toxic")
-    names = kept.columns
-    schema = kept.select("*", F.lit(0.0).alias("severity"), F.lit(False).alias("toxic")).schema
-    at = names.index(text)
+    names, at = kept.columns, kept.columns.index(text)
+    numbered = kept.toDF(*(f"c{i}" for i in range(len(names))))  # any name may pass, also one with a dot
+    schema = numbered.select("*", F.lit(0.0).alias("severity"), F.lit(False).alias("toxic")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             rows = [_values(*count_features(t, known, memo)) for t in b.column(at).to_pylist()]
             above = model.above(rows) if rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= threshold)], names=[*names, "severity", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= threshold)], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).toDF(*names, "severity", "toxic")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
