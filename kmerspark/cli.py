@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from kmerspark.functions.helpers import format_size, parse_size, quality_threshold
 from kmerspark.memory import largest_size, table_bytes
 from kmerspark.operators import count as C
-from kmerspark.operators import lookup, setops, summarize
+from kmerspark.operators import extract, lookup, setops, sketch, summarize
+from kmerspark.operators.collections import Kmer
+from kmerspark.scratch import scratch_path
 from kmerspark.sources import database, generators, sequences
 
 
+VERSION = "0.2"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kmerspark", description=__doc__)
+    p.add_argument("-V", "--version", action="version", version=f"kmerspark {VERSION}")
     sub = p.add_subparsers(dest="command", required=True)
 
     def inputs(c: argparse.ArgumentParser) -> None:
@@ -54,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--disk", "--no-merge", "--no-unlink", "--no-write"):
         c.add_argument(name, action="store_true")
 
-    c = sub.add_parser("bc", help="count classes (0, 1, 2 or more) of a first pass")
+    c = sub.add_parser("bc", help="classes (0, 1, 2 or more) of a first pass: a Bloom counter of the size given with -s, else an exact table")
     inputs(c)
     c.add_argument("-f", "--fpr", type=float, default=0.001)
     c.add_argument("-o", "--output", default="mer_bloom_counter")
@@ -106,6 +112,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-L", "--no-load", action="store_true")
     c.add_argument("-o", "--output")
 
+    c = sub.add_parser("generate", help="write files of random sequence")
+    c.add_argument("bases", nargs="+", help="bases of each file")
+    c.add_argument("-o", "--output", default="random")
+    c.add_argument("-r", "--read-length", type=int)
+    c.add_argument("-s", "--seed", type=int, default=0)
+    c.add_argument("-q", "--fastq", action="store_true")
+
     c = sub.add_parser("info", help="how a table was made")
     c.add_argument("db")
     c.add_argument("-j", "--json", action="store_true")
@@ -179,17 +192,77 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
+def is_counter(path: str) -> bool:
+    """Whether a path is a Bloom counter file."""
+    import os
+
+    return not os.path.isdir(path) and database.read_header(path)[0].get("format") == database.BLOOM
+
+
+def _valid(m: str, k: int, canonical: bool) -> str | None:
+    """The k-mer that a text begins with; a text that begins with none is reported."""
+    try:
+        x = Kmer(m[:k])
+        if x.k < k:
+            raise ValueError("too short")
+    except ValueError:
+        print(f"Invalid mer '{m}'", file=sys.stderr)
+        return None
+    return str(x.canonical() if canonical else x)
+
+
+def _interactive(count_of, k: int, canonical: bool) -> None:
+    """The count of each line's k-mer as soon as the line is read; an invalid line is reported, and the next one read."""
+    for line in sys.stdin:
+        x = _valid(line.strip(), k, canonical)
+        if x:
+            print(count_of(x), flush=True)
+
+
+def _query_counter(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Classes that a Bloom counter file has for k-mers."""
+    cells, shape = sketch.read_counter(spark, a.db)
+    lines = []
+    if a.sequence:
+        path = scratch_path(spark, "asked")
+        extract.kmers_at(sequences.read_sequences(spark, a.sequence), shape.k, ["path", "record_id"], canonical=shape.canonical).write.parquet(path)
+        asked = spark.read.parquet(path)
+        found = sketch.check(asked, cells, shape).orderBy("path", "record_id", "pos")
+        lines += [f"{r['kmer']} {r['seen']}" for r in found.select("kmer", "seen").toLocalIterator()]
+    seen_of = lambda mers: {r["kmer"]: r["seen"] for r in sketch.classes(spark.createDataFrame([(m,) for m in mers], "kmer string"), cells, shape).collect()} if mers else {}
+    valid = [x for x in (_valid(m, shape.k, shape.canonical) for m in a.mers) if x]
+    seen = seen_of(sorted(set(valid)))
+    _put(lines + [f"{x} {seen[x]}" for x in valid], a.output)
+    if a.interactive:
+        _interactive(lambda x: seen_of([x])[x], shape.k, shape.canonical)
+    return 0
+
+
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     began = time.time()
     if a.command in ("count", "bc"):
         k = a.mer_len
         reads = _reads(spark, a)
         if a.command == "bc":
+            ready = time.time()
             counts = C.count_kmers(reads, k, canonical=a.canonical).withColumn("count", F.least("count", F.lit(2)))
-            database.write_database(counts, a.output, k, a.canonical, "overwrite", classes=True)
+            if a.size:
+                shape = sketch.Counter.sized(k, parse_size(a.size), a.fpr, a.canonical)
+                path = scratch_path(spark, "counter")
+                sketch.bloom_counter(counts, shape).write.parquet(path)
+                counted = time.time()
+                sketch.write_counter(spark.read.parquet(path), a.output, shape)
+            else:
+                counted = time.time()
+                database.write_database(counts, a.output, k, a.canonical, "overwrite", classes=True)
         else:
             extra: dict = {}
-            if a.bc:
+            counter = None
+            if a.bc and is_counter(a.bc):
+                counter = sketch.read_counter(spark, a.bc)
+                if (counter[1].k, counter[1].canonical) != (k, a.canonical):
+                    raise ValueError("the first pass differs in k or in being canonical")
+            elif a.bc:
                 first, meta = open_db(spark, a.bc)
                 if (meta["k"], bool(meta["canonical"])) != (k, a.canonical):
                     raise ValueError("the first pass differs in k or in being canonical")
@@ -199,7 +272,15 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
             if a.only:
                 extra["only"] = C.distinct_kmers(sequences.read_sequences(spark, a.only), k, canonical=a.canonical)
             threshold = quality_threshold(a.min_qual_char, a.min_quality, a.quality_start)
+            ready = time.time()
             counts = C.count_kmers(reads, k, qual="qual", min_qual=threshold, canonical=a.canonical, lower=a.lower_count, upper=a.upper_count, saturate_bytes=None if a.text else a.out_counter_len, **extra)
+            if counter is not None:
+                counts = sketch.sketch_filter(counts, *counter)
+            if a.timing or counter is not None or not (a.text or a.binary or a.no_write):  # counted once, before it is written
+                path = scratch_path(spark, "counts")
+                counts.write.parquet(path)
+                counts = spark.read.parquet(path)
+            counted = time.time()
             if a.no_write:
                 counts.write.format("noop").mode("overwrite").save()
             elif a.text or a.binary:
@@ -207,7 +288,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
             else:
                 database.write_database(counts, a.output, k, a.canonical, "overwrite")
         if a.timing:
-            _put([f"Counting {time.time() - began:.3f}"], a.timing)
+            _put([f"Init     {ready - began:.6g}", f"Counting {counted - ready:.6g}", f"Writing  {time.time() - counted:.6g}"], a.timing)
         return 0
     if a.command == "merge":
         opened = [open_db(spark, p) for p in a.db]
@@ -220,6 +301,13 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
             merged = setops.merge(tables, "min" if a.min else "max" if a.max else "sum", a.lower_count, a.upper_count)
             database.write_database(merged, a.output, k, canonical, "overwrite")
         return 0
+    if a.command == "generate":
+        for i, n in enumerate(a.bases):
+            path = f"{a.output}{f'_{i}' if len(a.bases) > 1 else ''}.{'fq' if a.fastq else 'fa'}"
+            generators.write_random(spark, path, parse_size(n), a.read_length, a.seed + i, a.fastq)
+        return 0
+    if a.command == "query" and is_counter(a.db):
+        return _query_counter(spark, a)
     counts, meta = open_db(spark, a.db)
     if a.command == "histo":
         rows = summarize.histogram(counts, a.low, a.high, a.increment, a.full).orderBy("bucket").collect()  # at most one row a bucket
@@ -239,25 +327,11 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.mers:
             asked = spark.createDataFrame([(m,) for m in a.mers], "mer string")
             found = {r["mer"]: r["count"] for r in lookup.query(counts, asked, k, canonical).collect()}
-            from kmerspark.operators.collections import Kmer
-
-            for m in a.mers:
-                try:
-                    x = Kmer(m[:k])
-                except ValueError:
-                    x = None
-                if x is None or x.k < k:
-                    print(f"Invalid mer {m}", file=sys.stderr)
-                    continue
-                x = x.canonical() if canonical else x
-                lines.append(f"{x} {found[str(x)]}")
+            lines += [f"{x} {found[x]}" for x in map(lambda m: _valid(m, k, canonical), a.mers) if x]
         _put(lines, a.output)
         if a.interactive:
-            from kmerspark.operators.collections import KmerDatabase
-
-            db = KmerDatabase(counts.cache(), k, canonical)
-            for line in sys.stdin:
-                print(db[line.strip()[:k]], flush=True)
+            counts = counts.cache()
+            _interactive(lambda x: next(iter(counts.filter(F.col("kmer") == x).limit(1).collect()), {"count": 0})["count"], k, canonical)
     elif a.command == "info":
         if a.json:
             _put([json.dumps(meta)], None)

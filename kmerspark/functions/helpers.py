@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import shlex
 
 SUFFIXES = "kMGTPE"
@@ -63,6 +64,11 @@ def first_false(lo: int, hi: int, holds) -> int:
     return lo
 
 
+def random_bits(length: int = 64, rng: random.Random | None = None) -> int:
+    """A number of ``length`` random bits."""
+    return (rng or random).getrandbits(length) if length else 0
+
+
 def quote_arg(arg: str) -> str:
     return shlex.quote(arg)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerspark.functions.alphabet import canonical as canonical_of
+from kmerspark.scratch import scratch_path
 
 _SWAP = str.maketrans("ACGT", "TGCA")
 
@@ -89,18 +91,49 @@ class KmerDatabase:
 
 
 class KmerCounter:
-    """Accumulates tables of k-mers; a missing k-mer has no count (None), not 0."""
+    """Accumulates tables of k-mers; a missing k-mer has no count (None), not 0.
+
+    What is added is counted once, into a table of its own in the shared folder; reading sums the tables, and every MERGE of them
+    are made one, so neither a plan nor the number of tables grows with the additions.
+    """
+
+    MERGE = 16
 
     def __init__(self, spark: SparkSession, k: int) -> None:
-        self.k = k
-        self.counts = spark.createDataFrame([], "kmer string, count long")
+        self.spark, self.k = spark, k
+        self._tables: list[DataFrame] = []
+
+    def _keep(self, counts: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "counter")
+        counts.write.parquet(path)
+        return self.spark.read.schema("kmer string, count long").parquet(path)
+
+    @property
+    def counts(self) -> DataFrame:
+        """(kmer, count) of all that was added."""
+        if not self._tables:
+            return self.spark.createDataFrame([], "kmer string, count long")
+        if len(self._tables) == 1:
+            return self._tables[0]
+        return reduce(DataFrame.unionByName, self._tables).groupBy("kmer").agg(F.sum("count").alias("count"))
 
     def add(self, mers: DataFrame, value: str | None = None) -> KmerCounter:
         """Add 1 a row, or column ``value``."""
-        new = mers.select("kmer", (F.col(value) if value else F.lit(1)).cast("long").alias("count"))
-        self.counts = self.counts.unionByName(new).groupBy("kmer").agg(F.sum("count").alias("count"))
+        new = mers.groupBy("kmer").agg(F.sum(F.col(value) if value else F.lit(1)).cast("long").alias("count"))
+        self._tables.append(self._keep(new))
+        if len(self._tables) >= self.MERGE:
+            self._tables = [self._keep(self.counts)]
         return self
 
+    def add_new(self, mers: DataFrame, value: str | None = None) -> DataFrame:
+        """Add, and tell of each k-mer whether it is new: (kmer, is_new)."""
+        before = self.counts.select("kmer", F.lit(False).alias("is_new"))
+        told = mers.select("kmer").distinct().join(before, "kmer", "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
+        path = scratch_path(self.spark, "counter-new")
+        told.write.parquet(path)
+        self.add(mers, value)
+        return self.spark.read.schema("kmer string, is_new boolean").parquet(path)
+
     def new_keys(self, mers: DataFrame) -> DataFrame:
         """The k-mers that adding these would bring in."""
         return mers.select("kmer").distinct().join(self.counts, "kmer", "left_anti")
@@ -108,7 +141,7 @@ class KmerCounter:
     def update_add(self, mers: DataFrame, value: str | None = None) -> KmerCounter:
         from .count import update_add
 
-        self.counts = update_add(self.counts, mers.withColumn("_v", F.col(value) if value else F.lit(1)), "_v")
+        self._tables = [self._keep(update_add(self.counts, mers.withColumn("_v", F.col(value) if value else F.lit(1)), "_v"))]
         return self
 
     def get(self, mer: str) -> int | None:

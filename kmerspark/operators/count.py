@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerspark.functions.alphabet import unpack
+from kmerspark.functions.alphabet import pack
+from kmerspark.scratch import scratch_path
 
 from .encode import counting_task
-from .extract import kmers
-
-MAX_PACKED_K = 31
+from .extract import WORD, kmers, packed_kmers, spelled
 
 
 def count_kmers(
@@ -27,37 +26,53 @@ def count_kmers(
     seen_twice: DataFrame | None = None,
     saturate_bytes: int | None = None,
     engine: str = "auto",
+    packed: bool = False,
 ) -> DataFrame:
     """(kmer, count) of all windows of the reads.
 
-    ``only``: k-mers to count; each has a row, those never seen with 0. ``prefilter``: "minus1" leaves out each k-mer's
+    ``only``: k-mers to count (each has a row, those never seen with 0); no other k-mer is aggregated or, where their files are under
+    Spark's broadcast threshold, shuffled. ``prefilter``: "minus1" leaves out each k-mer's
     first occurrence (what an exact Bloom filter of seen k-mers does), "exact2" keeps k-mers that occur twice or more, or
     that ``seen_twice`` (a count table of a first pass) has with 2 or more. ``lower`` and ``upper`` are inclusive and hold
     before ``saturate_bytes`` bounds the counts to what so many bytes store.
 
-    ``engine``: "sql" works on strings inside the JVM; "arrow" encodes batches to packed longs and combines them before the
-    shuffle (k up to 31); "auto" takes arrow where it can. Results are equal.
+    ``engine``: "arrow" encodes batches to packed longs and combines them before the shuffle; "sql" makes the same longs inside the
+    JVM. Both pack up to 31 bases; longer k-mers are strings ("sql"). "auto" takes arrow where it can. Results are equal.
+
+    ``packed`` leaves k-mers of up to 31 bases as longs, in column ``packed``: what merges and lookups join fastest.
     """
-    if engine == "auto":
-        engine = "arrow" if k <= MAX_PACKED_K else "sql"
-    if engine == "arrow":
-        if k > MAX_PACKED_K:
-            raise ValueError(f"the arrow engine packs at most {MAX_PACKED_K} bases")
-        columns = [seq, qual] if qual is not None and min_qual is not None else [seq]
-        partial = reads.select(*columns).mapInArrow(counting_task(k, canonical, min_qual), "packed long, n long")
-        counts = partial.groupBy("packed").agg(F.sum("n").alias("count")).select(unpack("packed", k).alias("kmer"), "count")
+    if k > WORD and (engine == "arrow" or packed):
+        raise ValueError(f"at most {WORD} bases are packed")
+    key = "packed" if k <= WORD else "kmer"
+    if k > WORD:
+        rows = kmers(reads, k, seq, qual, min_qual, canonical).select("kmer", F.lit(1).cast("long").alias("n"))
+    elif engine == "sql":
+        rows = packed_kmers(reads, k, seq, qual, min_qual, canonical).select("packed", F.lit(1).cast("long").alias("n"))
     else:
-        counts = kmers(reads, k, seq, qual, min_qual, canonical).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
+        columns = [seq, qual] if qual is not None and min_qual is not None else [seq]
+        rows = reads.select(*columns).mapInArrow(counting_task(k, canonical, min_qual), "packed long, n long")
+    if only is not None:
+        path = scratch_path(reads.sparkSession, "only")
+        keyed(only, key).select(key).distinct().write.parquet(path)  # of known size, which decides whether it is broadcast
+        only = reads.sparkSession.read.parquet(path)
+        rows = rows.join(only, key, "left_semi")
+    counts = rows.groupBy(key).agg(F.sum("n").alias("count"))
     if prefilter == "minus1":
         counts = counts.filter("count >= 2").withColumn("count", F.col("count") - 1)
     elif prefilter == "exact2":
-        counts = counts.filter("count >= 2") if seen_twice is None else counts.join(seen_twice.filter("count >= 2").select("kmer"), "kmer", "left_semi")
+        counts = counts.filter("count >= 2") if seen_twice is None else counts.join(keyed(seen_twice.filter("count >= 2"), key).select(key), key, "left_semi")
     elif prefilter is not None:
         raise ValueError(f"no prefilter {prefilter!r}")
     if only is not None:
-        counts = restrict(counts, only)
+        counts = only.join(counts, key, "left").select(key, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     counts = bounded(counts, lower, upper)
-    return counts if saturate_bytes is None else saturate(counts, saturate_bytes)
+    counts = counts if saturate_bytes is None else saturate(counts, saturate_bytes)
+    return counts if packed or key == "kmer" else spelled(counts, k)
+
+
+def keyed(mers: DataFrame, key: str) -> DataFrame:
+    """``mers`` with its k-mers in column ``key``, be it ``packed`` or ``kmer``."""
+    return mers if key in mers.columns else mers.select(*[pack("kmer").alias("packed") if c == "kmer" else c for c in mers.columns])
 
 
 def restrict(counts: DataFrame, only: DataFrame) -> DataFrame:
@@ -78,7 +93,10 @@ def saturate(counts: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def distinct_kmers(reads: DataFrame, k: int, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    return kmers(reads, k, seq, canonical=canonical).distinct()
+    if k > WORD:
+        return kmers(reads, k, seq, canonical=canonical).distinct()
+    found = reads.select(seq).mapInArrow(counting_task(k, canonical, None), "packed long, n long")
+    return spelled(found.select("packed").distinct(), k)
 
 
 def add_weighted(mers: DataFrame, value: str = "value") -> DataFrame:

@@ -16,10 +16,10 @@ PIECE = 1 << 22
 DENSE = 1 << 22
 
 
-def _windows(codes: np.ndarray, begins: np.ndarray, k: int, canonical: bool) -> np.ndarray:
-    """Packed k-mers of all windows without an invalid base that lie in one sequence; ``begins`` marks sequences' first bases."""
+def _windows(codes: np.ndarray, begins: np.ndarray, k: int, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(packed k-mers, which windows they are) of all windows without an invalid base that lie in one sequence; ``begins`` marks sequences' first bases."""
     if len(codes) < k:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     total = np.concatenate(([0], np.cumsum(codes > 3, dtype=np.int32)))
     first = np.cumsum(begins, dtype=np.int32)
     valid = (total[k:] == total[:-k]) & (first[k - 1 :] == first[: len(first) - k + 1])
@@ -42,7 +42,7 @@ def _windows(codes: np.ndarray, begins: np.ndarray, k: int, canonical: bool) ->
             f, r = f[:n] << (2 * size) | f[size : size + n], r[:n] | r[size : size + n] << (2 * size)
             size *= 2
     out = np.minimum(forward, reverse) if canonical else forward
-    return out[valid]
+    return out[valid], valid
 
 
 def _counted(packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +62,11 @@ def _buffer(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def encode(seqs: pa.Array, quals: pa.Array | None, k: int, canonical: bool, min_qual: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Packed k-mers and their counts, by pieces of a batch of sequences (nulls are empty).
+def _codes(seqs: pa.Array, quals: pa.Array | None, min_qual: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all bases, where each sequence begins and the last ends); nulls are empty.
 
     A base whose quality is below ``min_qual`` breaks windows as an invalid one does; a sequence without qualities passes.
     """
-    if not len(seqs):
-        return
     data, offsets = _buffer(seqs.fill_null(""))
     codes = _CODES[data]
     if quals is not None and min_qual is not None:
@@ -80,11 +78,16 @@ def encode(seqs: pa.Array, quals: pa.Array | None, k: int, canonical: bool, min_
             for i in np.flatnonzero(np.diff(places)).tolist():
                 n = min(places[i + 1] - places[i], offsets[i + 1] - offsets[i])
                 codes[offsets[i] : offsets[i] + n][low[places[i] : places[i] + n]] = 4
+    return codes, offsets
+
+
+def _pieces(codes: np.ndarray, offsets: np.ndarray, k: int, canonical: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first base, packed k-mers, which windows they are) of overlapping pieces."""
     begins = np.zeros(len(codes) + 1, bool)
     begins[offsets[:-1]] = True
     for start in range(0, len(codes), PIECE):
         end = min(start + PIECE + k - 1, len(codes))
-        yield _counted(_windows(codes[start:end], begins[start:end], k, canonical), k)
+        yield start, *_windows(codes[start:end], begins[start:end], k, canonical)
 
 
 def counting_task(k: int, canonical: bool, min_qual: int | None):
@@ -92,8 +95,36 @@ def counting_task(k: int, canonical: bool, min_qual: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for packed, n in encode(b.column(0), b.column(1) if b.num_columns > 1 else None, k, canonical, min_qual):
+            if not b.num_rows:
+                continue
+            codes, offsets = _codes(b.column(0), b.column(1) if b.num_columns > 1 else None, min_qual)
+            for _, found, _ in _pieces(codes, offsets, k, canonical):
+                packed, n = _counted(found, k)
                 for i in range(0, len(packed), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(packed[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)], pa.int64())], names=["packed", "n"])
 
     return run
+
+
+def placing_task(k: int, canonical: bool, n_keys: int, min_qual: int | None):
+    """Function for ``mapInArrow`` over (keys..., seq[, qual]): (keys..., pos, packed), a row a valid window, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes, offsets = _codes(b.column(n_keys), b.column(n_keys + 1) if b.num_columns > n_keys + 1 else None, min_qual)
+            more = (_buffer(b.column(n_keys).fill_null(""))[0] & 0xC0) == 0x80  # bytes that begin no character
+            wide = np.cumsum(more) if more.any() else None
+            for start, packed, valid in _pieces(codes, offsets, k, canonical):
+                at = start + np.flatnonzero(valid)
+                row = np.searchsorted(offsets, at, side="right") - 1
+                pos = at - offsets[row]
+                if wide is not None:
+                    pos -= wide[at] - wide[offsets[row]]
+                for i in range(0, len(packed), 1 << 17):
+                    some = slice(i, i + (1 << 17))
+                    keys = b.select(list(range(n_keys))).take(pa.array(row[some]))
+                    yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(pos[some].astype(np.int64)), pa.array(packed[some])], names=[*keys.schema.names, "pos", "packed"])
+
+    return run

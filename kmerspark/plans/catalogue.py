@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerspark.functions import alphabet as A
+from kmerspark.functions.gf2 import BinaryMatrix
 from kmerspark.operators import count as C
 from kmerspark.operators import extract, lookup, setops, sketch, summarize
 from kmerspark.scratch import scratch_path
@@ -211,27 +212,27 @@ _ABC = (X.SQL["reads_a"], X.SQL["reads_b"], X.SQL["reads_c"], *[counts_sql(f"c{x
 
 
 def _abc(spark, d, n=3):
-    return [C.count_kmers(f(spark, d), 8) for f in (X.reads_a, X.reads_b, X.reads_c)[:n]]
+    return [C.count_kmers(f(spark, d), 8, packed=True) for f in (X.reads_a, X.reads_b, X.reads_c)[:n]]
 
 
 @query("merge_sum", with_sql(*_ABC) + "SELECT kmer, sum(count)::BIGINT AS count FROM u GROUP BY kmer")
 def _(spark, d):
-    return setops.merge(_abc(spark, d))
+    return extract.spelled(setops.merge(_abc(spark, d)), 8)
 
 
 @query("merge_min", with_sql(*_ABC) + "SELECT kmer, min(count)::BIGINT AS count FROM u GROUP BY kmer HAVING count(*) = 3")
 def _(spark, d):
-    return setops.merge(_abc(spark, d), "min")
+    return extract.spelled(setops.merge(_abc(spark, d), "min"), 8)
 
 
 @query("merge_max", with_sql(*_ABC) + "SELECT kmer, max(count)::BIGINT AS count FROM u GROUP BY kmer")
 def _(spark, d):
-    return setops.merge(_abc(spark, d), "max")
+    return extract.spelled(setops.merge(_abc(spark, d), "max"), 8)
 
 
 @query("merge_range", with_sql(*_ABC) + "SELECT kmer, sum(count)::BIGINT AS count FROM u GROUP BY kmer HAVING sum(count) BETWEEN 20 AND 30")
 def _(spark, d):
-    return setops.merge(_abc(spark, d), lower=20, upper=30)
+    return extract.spelled(setops.merge(_abc(spark, d), lower=20, upper=30), 8)
 
 
 def _jaccard_sql(n: int) -> str:
@@ -251,7 +252,7 @@ def _(spark, d):
 
 @query("count_matrix", with_sql(*_ABC[:-1]) + "SELECT kmer, coalesce(ca.count, 0)::BIGINT AS a, coalesce(cb.count, 0)::BIGINT AS b, coalesce(cc.count, 0)::BIGINT AS c FROM ca FULL JOIN cb USING (kmer) FULL JOIN cc USING (kmer)")
 def _(spark, d):
-    return setops.count_matrix(dict(zip("abc", _abc(spark, d), strict=True)))
+    return extract.spelled(setops.count_matrix(dict(zip("abc", _abc(spark, d), strict=True))), 8)
 
 
 # --- lookups
@@ -280,12 +281,12 @@ _READS9 = (X.SQL["reads_a"], X.SQL["reads_c"], counts_sql("c", "reads_a", 9), me
 
 @query("query_sequence", with_sql(*_READS9) + "SELECT rid, pos::BIGINT AS pos, m.kmer AS mer, coalesce(count, 0)::BIGINT AS count FROM m LEFT JOIN c ON m.kmer = c.kmer")
 def _(spark, d):
-    return lookup.query_sequences(C.count_kmers(X.reads_a(spark, d), 9), X.reads_c(spark, d), 9, ["rid"])
+    return lookup.query_sequences(C.count_kmers(X.reads_a(spark, d), 9, packed=True), X.reads_c(spark, d), 9, ["rid"])
 
 
 @query("query_per_read", with_sql(*_READS9) + "SELECT rid, string_agg(coalesce(count, 0)::VARCHAR, ' ' ORDER BY pos) AS counts FROM m LEFT JOIN c ON m.kmer = c.kmer GROUP BY rid")
 def _(spark, d):
-    per = lookup.query_per_read(C.count_kmers(X.reads_a(spark, d), 9), X.reads_c(spark, d), 9, ["rid"])
+    per = lookup.query_per_read(C.count_kmers(X.reads_a(spark, d), 9, packed=True), X.reads_c(spark, d), 9, ["rid"])
     return per.select("rid", F.array_join(F.col("counts").cast("array<string>"), " ").alias("counts"))
 
 
@@ -436,7 +437,10 @@ def _(spark, d):
     return C.count_kmers(generators.run_generators(spark, commands, allow_execution=True), 3)
 
 
-@query("random_reads")
+_RANDOM = "r AS (SELECT rid, substr(" + " || ".join(f"translate(md5('base-' || rid || '-7-{i}'), '{X.HEX}', '{X.NO_N}')" for i in range(5)) + ", 1, 150) AS seq FROM (SELECT unnest(range(2000)) AS rid))"
+
+
+@query("random_reads", with_sql(_RANDOM, counts_sql("c", "r", 6, True)) + histogram_sql("c"))
 def _(spark, d):
     return summarize.histogram(C.count_kmers(generators.random_reads(spark, 2000, 150, seed=7), 6, canonical=True))
 
@@ -471,9 +475,49 @@ def _(spark, d):
     return running.compact(spark, out)
 
 
-@query("bloom_sketch_fp_bounded")
+_FILES = X.SQL["reads_c"], mers_sql("m", "reads_c", 12), "c AS (SELECT kmer, count(*)::BIGINT AS count FROM m GROUP BY kmer)"
+
+
+@query("bloom_sketch_fp_bounded", with_sql(*_FILES) + "SELECT count(*) FILTER (WHERE count >= 2)::BIGINT AS twice, 0::BIGINT AS lost, TRUE AS within FROM c")
 def _(spark, d):
-    """k-mers that a sketched first pass keeps: all that occur twice, and a bounded share of singletons."""
+    """k-mers that a Bloom counter of a first pass keeps: all that occur twice, and a bounded share of those that occur once."""
     counts = C.count_kmers(X.reads_c(spark, d), 12)
-    n = max(counts.count(), 1)
-    return summarize.stats(sketch.sketch_filter(counts, counts, n, 0.001))
+    shape = sketch.Counter.sized(12, max(counts.count(), 1), 0.01)
+    seen = sketch.check(counts, sketch.bloom_counter(counts, shape), shape)
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    twice, over = F.col("count") >= 2, (F.col("count") < 2) & (F.col("seen") >= 2)
+    return seen.agg(one(twice).alias("twice"), one(F.col("seen") < F.least("count", F.lit(2))).alias("lost"), (one(over) <= 0.03 * one(~twice) + 5).alias("within"))
+
+
+@query("bloom_counter_file", with_sql(*_FILES) + "SELECT count(*)::BIGINT AS kmers, 0::BIGINT AS lost, TRUE AS within FROM c")
+def _(spark, d):
+    """A counter written as one file, read back by ranges, and asked for every k-mer."""
+    counts = C.count_kmers(X.reads_c(spark, d), 12)
+    shape = sketch.Counter.sized(12, max(counts.count(), 1), 0.001)
+    path = scratch_path(spark, "counter.bc")
+    sketch.write_counter(sketch.bloom_counter(counts, shape), path, shape)
+    cells, back = sketch.read_counter(spark, path)
+    seen = sketch.check(counts, cells, back)
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    wrong = one(F.col("seen") > F.least("count", F.lit(2)))
+    return seen.agg(F.count(F.lit(1)).alias("kmers"), one(F.col("seen") < F.least("count", F.lit(2))).alias("lost"), (wrong <= 0.005 * F.count(F.lit(1)) + 5).alias("within"))
+
+
+_MATRIX = BinaryMatrix.chance(40, 12, 5)
+_IMAGE = "0::BIGINT"
+for _i, _c in enumerate(reversed(_MATRIX.columns)):
+    _IMAGE = f"xor({_IMAGE}, CASE WHEN p >> {_i} & 1 = 1 THEN {_c} ELSE 0 END::BIGINT)"
+
+
+@query("gf2_images", with_sql(*_C6) + f"SELECT kmer, {_IMAGE} AS image FROM (SELECT kmer, ({_PACKED})::BIGINT AS p FROM m)")
+def _(spark, d):
+    """Every 6-mer's image under a random matrix over GF(2)."""
+    return C.distinct_kmers(X.reads_c(spark, d), 6).select("kmer", _MATRIX.column(A.pack("kmer")).alias("image"))
+
+
+@query("fastq_split", with_sql(X.SQL["reads_a"]) + "SELECT rid AS header, seq, qual FROM reads_a")
+def _(spark, d):
+    """Four-line FASTQ in one file, read in many ranges."""
+    path = scratch_path(spark, "fastq")
+    sequences.to_fastq(X.reads_a(spark, d).withColumnRenamed("rid", "header")).coalesce(1).write.text(path)
+    return sequences.read_sequences(spark, path, split_bytes=1 << 20).select("header", "seq", "qual")

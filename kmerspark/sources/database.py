@@ -206,21 +206,8 @@ def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False
             f.write(row["data"])
 
 
-def read_bloom(path: str) -> tuple[dict, np.ndarray]:
-    """(header, cells from 0 to 2) of a Bloom counter file: five cells a byte, in base 3, lowest first."""
-    header, offset = read_header(path)
-    if header.get("format") != BLOOM:
-        raise ValueError(f"{path}: format {header.get('format')!r} is not {BLOOM}")
-    fs, place = filesystem(path)
-    with fs.open_input_file(place) as f:
-        f.seek(offset)
-        raw = np.frombuffer(f.read(), np.uint8)
-    if len(raw) < -(-header["size"] // 5):
-        raise ValueError(f"{path}: cut off")
-    return header, unpack_cells(raw, header["size"])
-
-
 def pack_cells(cells: np.ndarray) -> np.ndarray:
+    """Five cells (0 to 2) a byte, in base 3, lowest first."""
     padded = np.zeros(-(-len(cells) // 5) * 5, np.uint8)
     padded[: len(cells)] = cells
     return (padded.reshape(-1, 5) @ np.array([1, 3, 9, 27, 81])).astype(np.uint8)
@@ -230,13 +217,6 @@ def unpack_cells(raw: np.ndarray, n: int) -> np.ndarray:
     return ((raw[:, None] // np.array([1, 3, 9, 27, 81])) % 3).astype(np.uint8).ravel()[:n]
 
 
-def write_bloom(path: str, cells: np.ndarray, k: int, hashes: int, canonical: bool = False) -> None:
-    fs, place = filesystem(path)
-    with fs.open_output_stream(place) as f:
-        f.write(header_bytes({"format": BLOOM, "key_len": 2 * k, "canonical": canonical, "size": len(cells), "nb_hashes": hashes, "hash": "xxhash64", **provenance()}))
-        f.write(pack_cells(cells).tobytes())
-
-
 # --- text outputs
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import list_files, open_stream
+from .files import filesystem, list_files, open_stream
 
 SCHEMA = "path string, record_id long, header string, seq string, qual string"
 _ARROW = pa.schema([("path", pa.string()), ("record_id", pa.int64()), ("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
 BATCH_CHARS = 8_000_000
+#: Bytes of a plain four-line FASTQ file that are one task.
+SPLIT_BYTES = 64 << 20
 
 
 class SequenceFormatError(ValueError):
@@ -22,8 +25,13 @@ class SequenceFormatError(ValueError):
 
 
 def _lines(stream) -> Iterator[str]:
-    for line in stream:
-        yield line.decode("latin-1").rstrip("\r\n")
+    rest = ""
+    while block := stream.read(1 << 20):
+        lines = (rest + block.decode("latin-1")).split("\n")
+        rest = lines.pop()
+        yield from (x.rstrip("\r") for x in lines) if b"\r" in block else lines
+    if rest:
+        yield rest.rstrip("\r")
 
 
 def parse_fasta(stream) -> Iterator[tuple[str, str, None]]:
@@ -133,21 +141,112 @@ def sniff(stream) -> str | None:
     return kind
 
 
+# --- four-line FASTQ, which can be read from any place on
+
+_LETTERS = re.compile(r"[A-Za-z.*-]+")
+
+
+def four_line_records(lines: list[str]) -> tuple[list[str], list[str], list[str]] | None:
+    """(headers, sequences, qualities) of whole four-line records, or None if the lines are anything else."""
+    heads, seqs, marks, quals = lines[::4], lines[1::4], lines[2::4], lines[3::4]
+    if len(lines) % 4 or not all(h[:1] == "@" for h in heads) or not all(m[:1] == "+" for m in marks) or list(map(len, seqs)) != list(map(len, quals)) or not all(seqs):
+        return None
+    return [h[1:] for h in heads], seqs, quals
+
+
+def _is_four_line(head: str) -> bool:
+    """Whether a file that begins so has four lines a record, as far as can be seen."""
+    lines = head.replace("\r\n", "\n").split("\n")[:-1]
+    whole = lines[: len(lines) // 4 * 4]
+    found = four_line_records(whole) if whole else None
+    return found is not None and all(map(_LETTERS.fullmatch, found[1]))
+
+
+def _next_record(f, at: int, size: int) -> int:
+    """Place of the first record that begins at ``at`` or later in a four-line file: a line with @ before one of letters.
+
+    (A line of qualities that begins with @ is before a header, which begins with @ as well.)
+    """
+    if at <= 0 or at >= size:
+        return min(max(at, 0), size)
+    f.seek(at - 1)
+    window, base = b"", at - 1
+    while True:
+        more = f.read(1 << 16)
+        window += more
+        start = window.find(b"\n") + 1
+        while start > 0:
+            lines = window[start:].split(b"\n", 2)
+            if len(lines) == 3 or (not more and len(lines) == 2):
+                if lines[0][:1] == b"@" and _LETTERS.fullmatch(lines[1].rstrip(b"\r").decode("latin-1")):
+                    return base + start
+                start += len(lines[0]) + 1
+            else:
+                break
+        if not more:
+            return size
+
+
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, start: int = 0, end: int = -1) -> None:
+        self.path, self.start, self.end = path, start, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.kind = options.get("inputformat", "auto")
         self.mode = options.get("mode", "FAILFAST").upper()
         self.paths = [p for p in options.get("path", options.get("paths", "")).split(",") if p]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p, _ in list_files(self.paths)]
+        out: list[InputPartition] = []
+        for p, size in list_files(self.paths):
+            if size > self.split and self.kind in ("auto", "fastq") and self._four_lines(p):
+                out += [_File(p, i, min(i + self.split, size)) for i in range(0, size, self.split)]
+            else:
+                out.append(_File(p))
+        return out
+
+    def _four_lines(self, path: str) -> bool:
+        fs, place = filesystem(path)
+        with fs.open_input_file(place) as f:
+            return _is_four_line(f.read(1 << 18).decode("latin-1"))
+
+    def _range(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        """Records that begin in a range of a four-line file. Their numbers go on from the place of the range's first one."""
+        fs, place = filesystem(partition.path)
+        with fs.open_input_file(place) as f:
+            size = f.size()
+            begin, stop = (_next_record(f, at, size) for at in (partition.start, partition.end))
+            f.seek(begin)
+            left, rest, i = stop - begin, "", begin
+            while left:
+                block = f.read(min(left, 4_000_000))
+                left -= len(block)
+                lines = (rest + block.decode("latin-1")).split("\n")
+                rest = lines.pop() if left else ""
+                if not left and lines and lines[-1] == "":
+                    lines.pop()
+                keep = len(lines) // 4 * 4 if left else len(lines)
+                rest = "\n".join([*lines[keep:], rest]) if left else ""
+                lines = [x.rstrip("\r") for x in lines[:keep]]
+                while not left and lines and not lines[-1]:
+                    lines.pop()
+                found = four_line_records(lines)
+                if found is None:
+                    if self.mode == "PERMISSIVE":
+                        return
+                    raise SequenceFormatError(f"{partition.path}: a record between bytes {begin} and {stop} has not four lines, as those at the file's start have; read it with splitBytes over its size")
+                n = len(found[0])
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array(range(i, i + n), pa.int64()), *(pa.array(c, pa.string()) for c in found)], schema=_ARROW)
+                i += n
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        if partition.end >= 0:
+            yield from self._range(partition)
+            return
         rows, size = [], 0
         with open_stream(partition.path) as stream:
             kind = sniff(stream) if self.kind == "auto" else self.kind if stream.peek(1)[:1] else None
@@ -177,9 +276,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class SequenceDataSource(DataSource):
-    """``spark.read.format("sequence")``: a file a task, streamed in constant memory, plain or gzipped.
+    """``spark.read.format("sequence")``: files streamed in constant memory, plain or gzipped, a task each.
 
-    Options: ``inputFormat`` auto (by first byte; empty files skipped), fasta, fastq, sam or bam; ``mode`` FAILFAST
+    A plain FASTQ file that begins with four-line records is split at every ``splitBytes``; should it hold a wrapped record later on, the job fails. Options:
+    ``inputFormat`` auto (by first byte; empty files skipped), fasta, fastq, sam or bam; ``mode`` FAILFAST
     (a malformed record fails the job) or PERMISSIVE (a file ends at its first malformed record).
     """
 
@@ -194,11 +294,11 @@ class SequenceDataSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_sequences(spark: SparkSession, paths: str | list[str], input_format: str = "auto", mode: str = "FAILFAST") -> DataFrame:
+def read_sequences(spark: SparkSession, paths: str | list[str], input_format: str = "auto", mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the files; formats may be mixed with ``auto``."""
     spark.dataSource.register(SequenceDataSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("sequence").option("paths", ",".join(paths)).option("inputFormat", input_format).option("mode", mode).load()
+    return spark.read.format("sequence").option("paths", ",".join(paths)).option("inputFormat", input_format).option("mode", mode).option("splitBytes", str(split_bytes)).load()
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -221,3 +321,13 @@ def fastq_to_sam(records: DataFrame) -> DataFrame:
     """Unmapped SAM lines of (header, seq, qual), in column ``value``."""
     name = F.split("header", r"\s")[0]
     return records.select(F.concat_ws("\t", name, F.lit("4"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), "seq", "qual").alias("value"))
+
+
+def to_fasta(reads: DataFrame, width: int = 70) -> DataFrame:
+    """FASTA records of (header, seq), in column ``value``, wrapped at ``width`` bases; write it with ``.write.text``."""
+    return reads.select(F.concat(F.lit(">"), "header", F.lit("\n"), F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")).alias("value"))
+
+
+def to_fastq(reads: DataFrame) -> DataFrame:
+    """Four-line FASTQ records of (header, seq, qual), in column ``value``."""
+    return reads.select(F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
