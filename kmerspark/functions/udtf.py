@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.functions import udtf
 
 _RUN = re.compile("[ACGTacgt]+")
 _SWAP = str.maketrans("ACGT", "TGCA")
@@ -26,11 +25,11 @@ def string_canonicals(text: str, k: int) -> Iterator[str]:
     return string_mers(text, k, True)
 
 
-@arrow_udtf(returnType="kmer string")
+@udtf(returnType="kmer string", useArrow=True)  # rows travel in Arrow batches; functions over whole Arrow arrays can't be joined laterally
 class KmersUDTF:
-    def eval(self, seq: pa.Array, k: pa.Array, canonical: pa.Array) -> Iterator[pa.Table]:
-        found = [m for s, n, c in zip(seq.to_pylist(), k.to_pylist(), canonical.to_pylist(), strict=True) for m in string_mers(s, n, c)]
-        yield pa.table({"kmer": pa.array(found, pa.string())})
+    def eval(self, seq: str, k: int, canonical: bool):
+        for m in string_mers(seq, k, canonical):
+            yield (m,)
 
 
 def register(spark: SparkSession) -> None:

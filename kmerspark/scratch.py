@@ -8,7 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path in the session's ``spark.checkpoint.dir``; only where that is unset (one machine) in a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """New path in the session's ``spark.checkpoint.dir``; only where that is unset, in local mode, in a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
