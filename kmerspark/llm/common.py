@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine tests) a local one is made.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset, in local mode, a local one is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kmerspark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
