@@ -57,9 +57,12 @@ def sliced(batches, rows: int = 500):
 
 
 def range_partitioned(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` plus ``_pid``: contiguous ranges of ``order``, frozen in a table so that every later reader sees the same cut."""
+    """``df`` plus ``_pid``: contiguous ranges of ``order``, frozen in a table so that every later reader sees the same cut.
+
+    Rows that are equal in ``order`` are told apart by their place in the input, so that many of them are no single range.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    cut = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *order, "_tie").drop("_tie").withColumn("_pid", F.spark_partition_id())
     return materialize(cut, name)
 
 

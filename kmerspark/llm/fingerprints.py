@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, sliced, text_or_empty
@@ -117,38 +117,47 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
+def _cuts_up_to(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``key``: a binary search, whose expression is as small for ten thousand cuts as for ten."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to a constant
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        up = (s["lo"] < s["hi"]) & (F.get(table, mid) <= key)
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve)["lo"]
+
+
 def next_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", pieces: int | None = None) -> DataFrame:
-    """Rows (piece, key, text, ghost) so that in each piece, by descending key, every row is followed by its successor.
+    """Rows (piece, key, text, h, ghost) so that in each piece, by descending key, every row is followed by its successor.
 
     The keys' range is cut at quantiles into pieces; the first row of each piece is also given, as a ghost, to the piece
     before it (and the very first row to the last piece), so neighbours meet with one shuffle of the texts. Null
-    keys come last; rows of equal keys are ordered by their text's hash.
+    keys come last; rows of equal keys are ordered by their text's hash ``h``, by which null keys are cut into pieces, too.
     """
     spark = docs.sparkSession
     pieces = pieces or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
+    slim = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     cuts = slim.agg(F.percentile_approx("key", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("q")).first()["q"] if pieces > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)  # piece i holds the keys from cuts[i] up; the last one the rest and nulls
-
-    def piece(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("key") >= cuts[mid], piece(lo, mid)).otherwise(piece(mid + 1, hi))
-
-    slim = slim.withColumn("piece", piece(0, len(cuts)))
-    heads = slim.groupBy("piece").agg(F.max("key").alias("key")).collect()  # a row per piece
+    cuts = sorted(set(cuts or []))
+    nulls = F.expr(f"((shiftright(h, 32) + {1 << 31}L) * {pieces}) div {1 << 32}L").cast("int")  # by equal ranges of the hash
+    slim = slim.withColumn("piece", F.when(F.col("key").isNull(), len(cuts) + 1 + nulls).otherwise(len(cuts) - _cuts_up_to(F.col("key"), cuts)))
+    heads = slim.groupBy("piece").agg(F.max(F.struct("key", F.bitwise_not("h").alias("nh"))).alias("head")).collect()  # a row per piece
     present = sorted(heads, key=lambda r: r["piece"])
     if not present:
-        return slim.select("piece", "key", "text", F.lit(False).alias("ghost"))
+        return slim.select("piece", "key", "text", "h", F.lit(False).alias("ghost"))
     before = {r["piece"]: present[i - 1]["piece"] for i, r in enumerate(present)}
-    # several rows may share a head's key: the reader takes the first ghost it meets, which sorts as the first of them
-    lookup = spark.createDataFrame([(r["piece"], r["key"], before[r["piece"]]) for r in present], "hp int, hk long, to int")
-    joined = slim.join(F.broadcast(lookup), (slim["piece"] == lookup["hp"]) & slim["key"].eqNullSafe(lookup["hk"]), "left")
+    # equal rows may share a head's place: the reader takes the first ghost it meets
+    lookup = spark.createDataFrame([(r["piece"], r["head"]["key"], ~r["head"]["nh"], before[r["piece"]]) for r in present], "hp int, hk long, hh long, to int")
+    joined = slim.join(F.broadcast(lookup), (slim["piece"] == lookup["hp"]) & slim["key"].eqNullSafe(lookup["hk"]) & (slim["h"] == lookup["hh"]), "left")
     places = F.when(F.col("to").isNull(), F.array(F.struct(F.col("piece").alias("piece"), F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("piece").alias("piece"), F.lit(False).alias("ghost")), F.struct(F.col("to").alias("piece"), F.lit(True).alias("ghost")))
     )
-    return joined.select(F.explode(places).alias("at"), "key", "text").select("at.piece", "key", "text", "at.ghost")
+    return joined.select(F.explode(places).alias("at"), "key", "text", "h").select("at.piece", "key", "text", "h", "at.ghost")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -159,12 +168,12 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
 
     The edited text is the text with its last floor(n / 2) code points replaced by as many first ones (or all) of the
     next document by descending key; after the last comes the first, so a lone document is its own next. Null texts
-    count as empty; null keys come last; repeated rows keep a row each; an empty table gives an empty result.
+    count as empty; null keys come last; repeated rows keep a row each; an empty table gives an empty result. A very long text is
+    read whole, with its neighbour. Other columns are ignored, whatever their names.
     """
     placed = next_in_order(docs, key, text)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = ["piece", "ghost", F.col("key").desc_nulls_last(), F.xxhash64("text")]
-    sorted_rows = placed.repartition(n, "piece").sortWithinPartitions(*by)
+    sorted_rows = placed.repartition(n, "piece").sortWithinPartitions("piece", "ghost", F.col("key").desc_nulls_last(), "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose successor comes next

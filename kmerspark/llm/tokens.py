@@ -146,7 +146,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[Colum
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     slim = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    by = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))]
+    slim = slim.withColumn("_tie", F.monotonically_increasing_id())  # rows of equal keys, or none, need not be one range
+    by = [*(F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))), F.col("_tie")]
     slim = slim.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "text", F.spark_partition_id().alias("pid"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

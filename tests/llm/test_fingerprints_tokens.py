@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import zlib
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerspark.llm.common import new_path
-from kmerspark.llm.fingerprints import fingerprint, fingerprint_neighbours, likeness, next_in_order, op7_query
+from kmerspark.llm.fingerprints import _cuts_up_to, fingerprint, fingerprint_neighbours, likeness, next_in_order, op7_query
 from kmerspark.llm.tokens import END_ID, WordEncoder, _Remote, op8_query, open_tokens, read_tokens, tokenizer_path, write_tokens
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,31 @@ def test_neighbours_meet(spark, docs_of, pieces):
     assert pairs == set(zip(order, order[1:] + order[:1]))
 
 
+def test_many_rows_without_id_are_no_single_piece(spark, docs_of):
+    texts = [f"text {i}" for i in range(300)]
+    df = docs_of([(None, t) for t in texts] + [(None, "same")] * 3 + [(5, "five"), (5, "cinq"), (9, "nine")])
+    rows = next_in_order(df, pieces=8).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["piece"]] = sizes.get(r["piece"], 0) + 1
+    assert max(sizes.values()) < 80 and sum(not r["ghost"] for r in rows) == 306 and sum(r["ghost"] for r in rows) <= len(sizes) + 2
+    hashed = dict(df.select("text", F.xxhash64("text")).collect())
+    order = ["nine", *sorted(["five", "cinq"], key=hashed.get), *sorted([*texts, "same", "same", "same"], key=hashed.get)]
+    follows = {}
+    for a, b in zip(order, order[1:] + order[:1]):
+        follows.setdefault(a, set()).add(b)
+    got = fingerprint_neighbours(df).collect()
+    edits = sorted(r["edited_sha256"] for r in got)
+    assert edits == sorted(hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [1, 2, 3], list(range(-500, 40_000, 7))])
+def test_binary_search(spark, cuts):
+    keys = [-(1 << 63), -501, -500, -499, 0, 1, 2, 3, 4, 5, 6, 39_000, 40_000, (1 << 63) - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [x[0] for x in df.select(_cuts_up_to(F.col("k"), cuts)).collect()] == [bisect.bisect_right(cuts, k) for k in keys]
+
+
 @pytest.mark.parametrize("texts", [[], ["only one"], TEXTS, [some_text(random.Random(9), 50 * i) for i in range(30)]])
 def test_fingerprint_rows_equal_brute_force(spark, docs_of, texts):
     got = {r["doc_id"]: r for r in fingerprint_neighbours(docs_of(texts)).collect()}
