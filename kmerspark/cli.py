@@ -136,7 +136,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _reads(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    parts = [sequences.read_sequences(spark, a.files)] if a.files else []
+    fasta, others = sequences.by_format(a.files)
+    parts = [sequences.read_fasta(spark, fasta).select("path", F.lit(None).cast("long").alias("record_id"), "header", "seq", F.lit(None).cast("string").alias("qual"))] if fasta else []
+    parts += [sequences.read_sequences(spark, others)] if others else []
     parts += [sequences.read_sequences(spark, f, "bam" if f.endswith(".bam") else "sam") for f in getattr(a, "sam", [])]
     if a.generator:
         with open(a.generator) as f:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kmerspark.scratch import scratch_path
+
 from .files import filesystem, list_files
 
 # Fixed values of the exchange format.
@@ -177,6 +179,9 @@ def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False
     """
     from kmerspark.operators.count import saturate
 
+    parts = scratch_path(counts.sparkSession, "exchange")
+    counts.select("kmer", "count").write.parquet(parts)  # computed once: for the size, the sort's sample and the sort
+    counts = counts.sparkSession.read.parquet(parts)
     n = counts.count()
     lsize = max(int(n * 5 / 4).bit_length(), 4)
     bits = min(lsize, 2 * k)

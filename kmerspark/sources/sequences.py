@@ -301,6 +301,19 @@ def read_sequences(spark: SparkSession, paths: str | list[str], input_format: st
     return spark.read.format("sequence").option("paths", ",".join(paths)).option("inputFormat", input_format).option("mode", mode).option("splitBytes", str(split_bytes)).load()
 
 
+def by_format(paths: list[str]) -> tuple[list[str], list[str]]:
+    """(plain FASTA files, which Spark's text reader splits; all others: FASTQ, gzipped files, pipes)."""
+    fasta, others = [], []
+    for path, size in list_files(paths):
+        fs, place = filesystem(path)
+        plain = size > 0 and fs.get_file_info(place).is_file
+        if plain:
+            with fs.open_input_file(place) as f:
+                plain = f.read(1) == b">"
+        (fasta if plain else others).append(path)
+    return fasta, others
+
+
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """FASTA by Spark's own text reader, which splits large files at records: (path, header, seq)."""
     lines = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^[\r\n]*>?", "").alias("value")).filter("value != ''")
