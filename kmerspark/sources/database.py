@@ -8,10 +8,12 @@ import os
 import platform
 import sys
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -164,7 +166,7 @@ def read_binary(spark: SparkSession, paths: str | list[str], records_per_split:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text exchange file: a header, then ``kmer count`` lines; the header's line ends in the first record."""
-    header, _ = read_header(path)
+    header, _ = read_header(list_files([path])[0][0])
     if header.get("format") != TEXT:
         raise ValueError(f"{path}: format {header.get('format')!r} is not {TEXT}")
     k = header["key_len"] // 2
@@ -172,11 +174,8 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter("kmer != ''").select("kmer", F.col("c").cast("long").alias("count"))
 
 
-def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False, text: bool = False, counter_len: int = 4) -> None:
-    """One exchange file, in the order of an identity matrix (low bits of the key, then the key).
-
-    The sort and the encoding are distributed; the parts' bytes pass through the driver one after another.
-    """
+def _in_exchange_order(counts: DataFrame, k: int, canonical: bool, text: bool, counter_len: int) -> tuple[DataFrame, dict]:
+    """(rows of encoded bytes in the order of an identity matrix: low bits of the key, then the key; the header)."""
     from kmerspark.operators.count import saturate
 
     parts = scratch_path(counts.sparkSession, "exchange")
@@ -188,7 +187,7 @@ def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False
     low = F.expr(f"right(kmer, {-(-bits // 2)})")
     if bits % 2:  # an odd number of bits: the leading base counts by its low bit only
         low = F.concat(F.translate(F.substring(low, 1, 1), "GT", "AC"), F.expr(f"substring(right(kmer, {-(-bits // 2)}), 2)"))
-    ordered = (counts if text else saturate(counts, counter_len)).select("kmer", "count", low.alias("_pos")).orderBy("_pos", "kmer").select("kmer", "count")
+    ordered = (counts if text else saturate(counts, counter_len)).select("kmer", "count", low.alias("_pos")).orderBy("_pos", "kmer").select("kmer", "count", F.spark_partition_id().alias("pid"))
     header = {"format": TEXT if text else BINARY, "key_len": 2 * k, "canonical": canonical, "size": 1 << bits, "val_len": 7, "max_reprobe": 0, "reprobes": [0], "matrix1": {"r": bits, "c": 2 * k, "identity": True}, **provenance()}
     if not text:
         header["counter_len"] = counter_len
@@ -202,15 +201,52 @@ def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False
                 data = "".join(f"{m} {c}\n" for m, c in zip(mers, values, strict=True)).encode()
             else:
                 data = np.hstack([encode_keys(mers, k), values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :counter_len]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+            yield pa.RecordBatch.from_arrays([b.column(2).slice(0, 1), pa.array([data], pa.binary())], names=["pid", "data"])
 
+    return ordered.mapInArrow(encode, "pid int, data binary"), header
+
+
+def write_exchange(counts: DataFrame, path: str, k: int, canonical: bool = False, text: bool = False, counter_len: int = 4) -> None:
+    """One exchange file. The sort and the encoding are distributed; the parts' bytes pass through the driver one after another."""
+    rows, header = _in_exchange_order(counts, k, canonical, text, counter_len)
     fs, place = filesystem(path)
     with fs.open_output_stream(place) as f:
         f.write(header_bytes(header))
-        for row in ordered.mapInArrow(encode, "data binary").toLocalIterator():
+        for row in rows.toLocalIterator():
             f.write(row["data"])
 
 
+def write_exchange_parts(counts: DataFrame, folder: str, k: int, canonical: bool = False, text: bool = False, counter_len: int = 4) -> int:
+    """A folder of exchange files, each a range of the order with a header of its own, written by the tasks; returns their number.
+
+    A task that runs again writes a file of another name; the driver gives the files that count their names, and removes others.
+    """
+    rows, header = _in_exchange_order(counts, k, canonical, text, counter_len)
+    fs, place = filesystem(folder)
+    fs.create_dir(place, recursive=True)
+    head = header_bytes(header)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, where, f, pid, name = *filesystem(folder), None, 0, f"_part-{uuid.uuid4().hex}"
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if f is None:
+                    f, pid = store.open_output_stream(f"{where}/{name}"), p
+                    f.write(head)
+                f.write(data)
+        if f is not None:
+            f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([name])], names=["pid", "name"])
+
+    files = sorted(tuple(r) for r in rows.mapInArrow(put, "pid int, name string").collect())  # a row a file
+    for i, (_, name) in enumerate(files):
+        fs.move(f"{place}/{name}", f"{place}/part-{i:05d}")
+    for info in fs.get_file_info(pafs.FileSelector(place)):
+        if info.base_name.startswith("_part-"):
+            fs.delete_file(info.path)
+    return len(files)
+
+
 def pack_cells(cells: np.ndarray) -> np.ndarray:
     """Five cells (0 to 2) a byte, in base 3, lowest first."""
     padded = np.zeros(-(-len(cells) // 5) * 5, np.uint8)

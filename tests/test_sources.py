@@ -113,6 +113,13 @@ def test_exchange_files(spark, tmp_path, k):
     raw = np.frombuffer((tmp_path / "b").read_bytes()[offset:], np.uint8).reshape(len(expected), -1)
     keys = [int.from_bytes(r[: -(-k // 4)].tobytes(), "little") for r in raw]
     assert keys == sorted(keys, key=lambda v: (v % header["size"], v))  # the order of an identity matrix
+    n = database.write_exchange_parts(counts, str(tmp_path / "bs"), k, counter_len=1)
+    assert {r["kmer"]: r["count"] for r in database.read_binary(spark, str(tmp_path / "bs"), 7).collect()} == {m: min(c, 255) for m, c in expected.items()}
+    database.write_exchange_parts(counts, str(tmp_path / "ts"), k, True, text=True)
+    assert {r["kmer"]: r["count"] for r in database.read_text(spark, str(tmp_path / "ts")).collect()} == expected
+    parts = sorted((tmp_path / "bs").iterdir())
+    assert [p.name for p in parts if not p.name.startswith(".")] == [f"part-{i:05d}" for i in range(n)]
+    assert b"".join(p.read_bytes()[offset:] for p in parts if not p.name.startswith(".")) == (tmp_path / "b").read_bytes()[offset:]
     with pytest.raises(ValueError):
         database.read_text(spark, str(tmp_path / "b"))
     with pytest.raises(Exception, match="is not binary"):
