@@ -19,8 +19,8 @@ from .tokens import _filesystem
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor
-#: Documents of a unit, the piece of the input whose findings lie together, in the order of its rows.
-UNIT = 16_384
+#: Documents of a unit, the piece of the input whose findings lie together, in the order of its rows; small, so that folders get equal shares.
+UNIT = 2_048
 #: Bytes worked on at once, so that the arrays stay in a core's cache; bytes of snippets merged at once, and of a shard of them.
 PIECE, BUCKET, SHARD = 1 << 18, 1 << 20, 1 << 18
 #: Variants of an anchor that are merged in one piece of memory; beyond, each window is a string of its own, named by its hash.

@@ -47,6 +47,7 @@ def test_removal_equals_brute_force(spark, docs_of, monkeypatch, texts, shard, v
     monkeypatch.setattr(repeats, "SHARD", shard)
     monkeypatch.setattr(repeats, "BUCKET", 4 * shard)
     monkeypatch.setattr(repeats, "PIECE", 1500)
+    monkeypatch.setattr(repeats, "UNIT", 7)
     got = {r["doc_id"]: r for r in remove_repeats(docs_of(texts)).collect()}
     for i, e in enumerate(brute(texts)):
         r = got[i]
