@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import string
@@ -12,6 +13,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ class WordEncoder:
 
     A tokenizer that drops white space and never lets a token span it gives a text the ids of its parts between
     blanks and line feeds, in order; equal parts are encoded once. (Whether it does so is seen by its vocabulary, which must hold no white space or
-    mark of it, and by a sample text; with any other tokenizer whole texts are encoded.) Plain words (letters that stay letters in lower case,
-    perhaps with ASCII punctuation at the end, which it splits off whole) are encoded many at a time and told apart by word numbers.
+    mark of it, and by a sample text; with any other tokenizer whole texts are encoded.) Parts are found and put together again as
+    Arrow columns. Plain words (nothing but letters that the tokenizer, too, takes for one letter of a word, perhaps with ASCII punctuation at the end,
+    which it splits off whole) are remembered without their punctuation, encoded many at a time and told apart by word numbers.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,7 +46,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.table: dict[str, bytes] = {"": b""}
+        self.table: dict[str, bytes | None] = {"": None}  # None: no plain word
+        self.others: dict[str, bytes] = {"": b""}  # parts that are no plain word with marks, and the marks
+        self.letters: dict[str, bool] = {}
         marks = re.compile(r"\s|[\u0120\u010a\u2581]")  # a byte-level blank or line feed, or a piece's leading blank
         parts = [p for p in SAMPLE.replace("\n", " ").split(" ") if p]
         longer = (t for t in (t.removesuffix("</w>") for t in self.tokenizer.get_vocab()) if len(t) > 1)  # single symbols join nothing
@@ -55,42 +60,94 @@ class WordEncoder:
     def _one(self, part: str) -> bytes:
         return self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
-    def _learn(self, new: set[str]) -> None:
-        table, plain, marked = self.table, set(), []
-        for w in new:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                if stem not in table:
-                    plain.add(stem)
-                if len(stem) < len(w):
-                    marked.append((w, stem, w[len(stem) :]))
-            else:
-                table[w] = self._one(w)
-        plain = list(plain)
+    def _letter(self, c: str) -> bool:
+        """Whether the tokenizer keeps ``c`` in a word, at its end and inside, and apart from a mark behind it."""
+        if c not in self.letters:
+            ends, inside = (self.tokenizer.encode(t, add_special_tokens=False).word_ids for t in (f"a{c}!", f"a{c}a!"))
+            self.letters[c] = all(w[-1] == 1 and set(w[:-1]) == {0} for w in (ends, inside))
+        return self.letters[c]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha() and (w.isascii() or all(map(self._letter, set(w))))]
+        self.table.update(dict.fromkeys(new))
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
-            if e.word_ids[-1] != len(some) - 1:
-                table.update((w, self._one(w)) for w in some)
-                continue
-            raw, k = self._ids(e.ids), self.width
-            table.update((w, raw[k * a : k * b]) for w, a, b in zip(some, starts[:-1], starts[1:], strict=True))
-        marks = {m: self._one(m) for m in {x[2] for x in marked}}
-        table.update((w, table[stem] + marks[m]) for w, stem, m in marked)
+            numbers, raw, k = np.array(e.word_ids, float), self._ids(e.ids), self.width
+            if not len(numbers) or not (numbers[-1] == len(some) - 1 and (np.diff(numbers) >= 0).all()):
+                continue  # these are encoded apart, with their marks
+            cuts = (k * np.searchsorted(numbers, np.arange(len(some) + 1))).tolist()
+            self.table.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are encoded as they are."""
+        new = list(set(parts).difference(self.others))
+        if len(self.others) + len(new) > MAX_WORDS:
+            self.others, new = {"": b""}, list(set(parts) - {""})
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            self.others.update(zip(some, (self._ids(e.ids) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+        return [self.others[p] for p in parts]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of each of the different parts of texts."""
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        n_marks = np.diff(_ends_of(words)) - np.diff(_ends_of(stems))
+        stems = stems.dictionary_encode()
+        names, at = _strings(stems.dictionary), stems.indices.to_numpy()
+        ids = list(map(self.table.get, names, itertools.repeat(b"?")))  # an odd length: no ids
+        missing = [i for i, x in enumerate(ids) if x == b"?"]
+        new = [names[i] for i in missing]
+        if len(self.table) + len(new) > MAX_WORDS:
+            self.table = {"": None}
+            missing, new = range(len(names)), names
+        self._learn(new)
+        for i in missing:
+            ids[i] = self.table[names[i]]
+        is_plain = np.array([x is not None for x in ids], bool)[at]
+        out = pa.array(ids, pa.large_binary()).take(stems.indices)
+        marked = np.flatnonzero(is_plain & (n_marks > 0))
+        tails = np.full(len(words), None, object)
+        tails[marked] = self._known([w[-n:] for w, n in zip(_strings(words.take(pa.array(marked))), n_marks[marked].tolist(), strict=True)])
+        whole = np.flatnonzero(~is_plain)
+        tails[whole] = self._known(_strings(words.take(pa.array(whole))))
+        return pc.binary_join_element_wise(out, pa.array(tails, pa.large_binary()), pa.scalar(b"", pa.large_binary()), null_handling="skip")
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after the other, and the places where they end (a 0 first)."""
+        dtype = DTYPES[self.width]
+        if not self.by_words:
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([x for some in ids for x in some], dtype), np.cumsum([0, *map(len, ids)])
+        texts = texts.cast(pa.large_string())
+        ends = _ends_of(texts)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy()
+        ends = ends - ends[0]
+        data[data == 10] = 32
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:] = data == 32
+        begins[ends] = True
+        edges = np.flatnonzero(begins)
+        parts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+        words = pc.ascii_rtrim(parts.dictionary, characters=" ").dictionary_encode()  # the last part of a text has no blank behind it
+        coded = self._words(words.dictionary).take(words.indices).take(parts.indices)
+        bounds = _ends_of(coded)
+        flat = np.frombuffer(coded.buffers()[2] or b"", dtype, int(bounds[-1]) // self.width)
+        return flat, bounds[np.searchsorted(edges, ends)] // self.width
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        if not self.by_words:
-            return [self._ids(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts)
-        new = words.difference(self.table)
-        if len(self.table) + len(new) > MAX_WORDS:
-            self.table = {"": b""}
-            new = words - {""}
-        self._learn(new)
-        return [b"".join(map(self.table.__getitem__, p)) for p in parts]
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def _ends_of(a: pa.Array) -> np.ndarray:
+    """Offsets of a large string or binary array."""
+    return np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, 8 * a.offset) if len(a) else np.zeros(1, np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -114,19 +171,23 @@ def _filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _in_pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of bounded total length, so that one batch of very long texts needs no more memory."""
-    ids, texts, size = [], [], 0
+def _in_pieces(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(keys, texts) of bounded total bytes, so that one batch of very long texts needs no more memory."""
+    held, size = [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
+        sizes = np.asarray(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64)
+        first = 0
+        while first < len(sizes):
+            full = int(np.searchsorted(np.cumsum(sizes[first:]), most - size)) + 1  # rows that fill the piece
+            some = b.slice(first, full)
+            held.append(some)
+            size += int(sizes[first : first + full].sum())
+            first += full
             if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in range(2))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in range(2))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[Column], key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -166,13 +227,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[Colum
                 fs, path = _filesystem(folder)
                 fs.create_dir(path, recursive=True)
                 files = {k: fs.open_output_stream(f"{path}/{k}-{name}.bin") for k in ("ids", "offsets", "keys")}
-            end = int(end_id).to_bytes(encoder.width, "little")
-            coded = [x + end for x in encoder.encode(texts)]
-            sizes = np.array([len(x) for x in coded], np.int64) // encoder.width
-            files["ids"].write(b"".join(coded))
-            files["offsets"].write((n_ids + np.cumsum(sizes) - sizes).astype("<u8").tobytes())
-            files["keys"].write(np.array([-(1 << 63) if k is None else k for k in keys], "<i8").tobytes())
-            n_docs, n_ids = n_docs + len(texts), n_ids + int(sizes.sum())
+            ids, ends = encoder.encode_column(texts)
+            files["ids"].write(np.insert(ids, ends[1:], end_id).tobytes())
+            files["offsets"].write((n_ids + ends[:-1] + np.arange(len(texts))).astype("<u8").tobytes())
+            files["keys"].write(keys.fill_null(-(1 << 63)).to_numpy().astype("<i8").tobytes())
+            n_docs, n_ids = n_docs + len(texts), n_ids + len(ids) + len(texts)
         if n_docs:
             files["offsets"].write(np.array([n_ids], "<u8").tobytes())
             for f in files.values():

@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kmerspark.llm import tokens
 from kmerspark.llm.common import new_path
 from kmerspark.llm.fingerprints import _cuts_up_to, fingerprint, fingerprint_neighbours, likeness, next_in_order, op7_query
 from kmerspark.llm.tokens import END_ID, WordEncoder, _Remote, op8_query, open_tokens, read_tokens, tokenizer_path, write_tokens
@@ -187,6 +189,32 @@ def test_word_table_equals_the_tokenizer():
         assert np.frombuffer(raw, "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_letters_that_come_apart_before_a_mark():
+    """Some letters are a letter and a sign to the tokenizer, and the sign joins the mark behind it."""
+    e = WordEncoder(tokenizer_path())
+    texts = ["\u0958! a\u0958, \u0958", "\u09dc.", "\u0a33?!\n\u0f43,", "é! İ! ΣΑΣ."]
+    for t, raw in zip(texts, e.encode(texts)):
+        assert np.frombuffer(raw, "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_columns_of_texts(monkeypatch, most):
+    """Slices, empty texts and a word table that is full."""
+    monkeypatch.setattr(tokens, "MAX_WORDS", most)
+    e = WordEncoder(tokenizer_path())
+    texts = ["", "left out", "", "a  b,\nc ", "\n", " ", *ODD, "word, word word.", ""]
+    for some in (pa.array(texts), pa.array(texts, pa.large_string())[2:-1], pa.array([""]), pa.array([], pa.string())):
+        ids, ends = e.encode_column(some)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in some.to_pylist()]
+
+
+def test_pieces_of_bounded_bytes():
+    texts = ["x" * n for n in (3, 0, 9, 25, 1, 1, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], names=["key", "text"]) for a, b in ((0, 4), (4, 4), (4, 7))]
+    pieces = [(k.to_pylist(), t.to_pylist()) for k, t in tokens._in_pieces(iter(batches), 10)]
+    assert [k for k, _ in pieces] == [[0, 1, 2], [3], [4, 5, 6]] and sum((t for _, t in pieces), []) == texts
+
+
 @pytest.mark.parametrize("levels", [True, False])
 def test_other_tokenizers_encode_whole_texts(spark, docs_of, tmp_path, levels):
     """A tokenizer whose tokens take in the blank before a word, and one that does not."""
