@@ -79,6 +79,18 @@ def test_banding_reaches_its_recall():
         choose_bands(0.1, 0.9999999, 2)
 
 
+def test_links_right_at_the_threshold(spark, docs_of):
+    """Pairs of a similarity of 0.8 that 24 bands of 5 rows missed."""
+    texts = []
+    for seed in (17563, 45981):
+        same = [f"{seed:x}w{i}" for i in range(49)]
+        texts += [" ".join(same), " ".join([*same[:44], *(f"{seed:x}v{i}" for i in range(5))])]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_text_links"]) for r in jaccard_join(docs_of(texts)).collect()}
+    assert got == {i: (i - i % 2, 1, 1) for i in range(4)} == brute(texts)
+    bands, rows = choose_bands()
+    assert (1 - 0.8**rows) ** bands <= 1e-7
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
