@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, maybe_in, read_table, text_or_empty
 from .components import connected_components
 
 #: A link right at the threshold is missed with a chance of at most 1 - RECALL, a closer one with less. (Of 60,000 such pairs 3 were missed
@@ -207,7 +207,8 @@ def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     # the texts of the nodes' first documents
     reps = members.select("rep", "node").distinct()
-    wanted = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    read = maybe_in(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), F.col("doc_id"), reps.select("rep"))
+    wanted = read.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = wanted.join(members.select("node", "comp", "block", "other", "copies", "texts"), "node").select(
         "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "copies", "texts", "text"

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from kmerspark.llm import neardup
+from kmerspark.llm.common import maybe_in
 from kmerspark.llm.components import connected_components
 from kmerspark.llm.neardup import Shingler, choose_bands, drop_near_copies, jaccard_join
 
@@ -91,6 +92,14 @@ def test_links_right_at_the_threshold(spark, docs_of):
     assert (1 - 0.8**rows) ** bands <= 1e-7
 
 
+def test_only_texts_of_clusters_are_shuffled(spark, docs_of):
+    ids = [3, None, 900, -7]
+    rows = docs_of([(i, "a") for i in [*range(1000), None, -7, -7]], clash=False)
+    got = [r["doc_id"] for r in maybe_in(rows, rows["doc_id"], spark.createDataFrame([(i,) for i in ids], "rep long")).collect()]
+    assert got.count(-7) == 2 and set(ids) <= set(got) and len(got) < 100
+    assert maybe_in(rows, rows["doc_id"], rows.select("doc_id").limit(0)).collect() == []
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
