@@ -1,20 +1,21 @@
-"""N-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them."""
+"""N-gram Jaccard join: MinHash bands find clusters, a prefix join the pairs between them, full n-gram sets verify both."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, read_table, text_or_empty
 from .components import connected_components
 
-#: A link right at the threshold is missed with a chance of at most 1 - RECALL, a closer one with less. (Of 60,000 such pairs 3 were missed
+#: The bands miss a link right at the threshold with a chance of at most 1 - RECALL, a closer one with less; the prefix join finds it. (Of 60,000 such pairs 3 were missed
 #: with 0.9999 and one of these with 0.9999999, which missed none of 600,000 others.)
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999999
 #: Texts of a candidate cluster that are verified in one piece of memory, and shingles of them; larger clusters are cut
@@ -83,22 +84,144 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes()))))
 
 
+def overlap(n: int) -> int:
+    """Shingles that a set of ``n`` has in common with any set that it is linked to, at least."""
+    return math.ceil(THRESHOLD * n - 1e-9)
+
+
+def share(n: int) -> int:
+    return 1 + n // 10
+
+
+def prefix(shingles: np.ndarray) -> np.ndarray:
+    """The lowest shingles: linked sets of ``a`` and ``b`` have ``share(min(a, b))`` of them in common, at least.
+
+    Of two linked sets ``c`` shingles are common, c >= overlap(a) and overlap(b). Beyond the l-th lowest of these both sets have c - l more,
+    so it is among the lowest a - c + l of the one and b - c + l of the other.
+    """
+    n = len(shingles)
+    return shingles[: n - overlap(n) + share(n)].view(np.int64)
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, set if an odd number have it; 128 bits or the power of two that is twice the shingles or more."""
+    bits = max(128, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: int, x: bytes, b: int, y: bytes) -> bool:
+    """False only if sets of ``a`` and ``b`` shingles with these parities are not linked: the sets differ in as many shingles as parities, at least."""
+    p, q, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), min(len(x), len(y))
+    for half in (4 * max(len(x), len(y)) >> i for i in range((max(len(x), len(y)) // size).bit_length() - 1)):
+        low = (1 << half) - 1
+        p, q = (p >> half ^ p & low, q) if len(x) > size else (p, q >> half ^ q & low)
+    return (p ^ q).bit_count() <= (a + b) * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-6
+
+
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, node, text_hash, n_shingles, bands) of every row; ``node`` names the set of shingles, ``text_hash`` is Spark's of the text."""
+    """(doc_id, node, text_hash, n_shingles, bands, prefix, parities) of every row; ``node`` names the set of shingles, ``text_hash`` is Spark's of the text.
+
+    Of the rows of a node the first of each task has its prefix and parities, the others (but for some, beyond 500,000 nodes) empty ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        shingles, seen = Shingler(), set()
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             rows = []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
-                rows.append((_node(s), len(s), signature(s)))
+                node = _node(s)
+                rows.append((node, len(s), signature(s), *((s[:0].view(np.int64), b"") if node in seen else (prefix(s), parities(s)))))
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(node)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
+            lowest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
             node, size = (pa.array([r[i] for r in rows], pa.int64()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), node, b.column(2), size, bands], names=["doc_id", "node", "text_hash", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, b.column(2), size, bands, lowest, pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "node", "text_hash", "n_shingles", "bands", "prefix", "parities"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text_or_empty(text)).alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, node long, text_hash long, n_shingles long, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, node long, text_hash long, n_shingles long, bands array<long>, prefix array<long>, parities binary")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (shingle, node) in this order, the distinct rows whose shingle has two nodes or more."""
+    g, x, hit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # the last row, and whether the one before it has its shingle
+    for b in batches:
+        held = hit[-1:]
+        g, x = np.concatenate((g[-1:], b.column(0).to_numpy())), np.concatenate((x[-1:], b.column(1).to_numpy()))
+        if not len(g):
+            continue
+        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
+        g, x = g[fresh], x[fresh]
+        same = g[1:] == g[:-1]
+        hit = np.concatenate((held if len(held) else [False], same)) | np.concatenate((same, [False]))
+        yield pa.RecordBatch.from_arrays([pa.array(g[:-1][hit[:-1]]), pa.array(x[:-1][hit[:-1]])], names=["g", "node"])
+    if hit[-1:].any():
+        yield pa.RecordBatch.from_arrays([pa.array(g[-1:]), pa.array(x[-1:])], names=["g", "node"])
+
+
+def _least_common() -> Column:
+    """:func:`share` of :func:`overlap` of ``n_shingles``: no set that this one is linked to is smaller than the overlap."""
+    return F.lit(1) + F.floor(F.ceil(F.lit(THRESHOLD) * F.col("n_shingles") - F.lit(1e-9)) / 10)
+
+
+def shared_prefixes(signed: DataFrame) -> DataFrame:
+    """(g, node, n_shingles): shingles of prefixes that several nodes have, of those nodes that have enough of them to be linked to any."""
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signed.select(F.explode("prefix").alias("g"), "node").repartition(n, "g").sortWithinPartitions("g", "node")
+    rows = materialize(rows.mapInArrow(_shared, "g long, node long"), "neardup-shared")
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    sizes = maybe_in(signed.select("node", "n_shingles"), F.col("node"), counts.select("node")).distinct()
+    near = counts.join(sizes, "node").filter(F.col("n") >= _least_common()).select("node", "n_shingles")
+    return materialize(rows.join(near, "node").select("g", "node", "n_shingles"), "neardup-near")
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [may_link(*r) for r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def pairs_between(signed: DataFrame, near: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes of different clusters, all linked ones among them.
+
+    A shingle counts if nodes of several clusters have it. Linked nodes have so many of these in common that one is among the
+    rarest of both, all but as many less one. So a frequent shingle pairs only nodes that have hardly any others. Pairs whose parities
+    rule out a link are dropped before any text is read.
+    """
+    homes = near.join(clusters, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    homes = materialize(homes, "neardup-homes")
+    common = homes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("g", "n")
+    left = homes.join(common, "g")
+    each = Window.partitionBy("node")
+    left = left.withColumn("all", F.count(F.lit(1)).over(each)).withColumn("rank", F.row_number().over(each.orderBy("n", "g")))
+    left = materialize(left.filter(F.col("rank") <= F.col("all") - _least_common() + 1).select("g", "node", "comp", "n_shingles"), "neardup-rare")
+    a, b = left.withColumnsRenamed({"node": "u", "comp": "cu", "n_shingles": "nu"}), left.withColumnsRenamed({"node": "v", "comp": "cv", "n_shingles": "nv"})
+    sizes = F.least("nu", "nv") >= F.lit(THRESHOLD) * F.greatest("nu", "nv") - F.lit(1e-9)
+    pairs = materialize(a.join(b, "g").filter("u < v and cu != cv").filter(sizes).select("u", "v").distinct(), "neardup-met")
+    rare = left.select("node").distinct()
+    marks = maybe_in(signed.filter(F.length("parities") > 0).select("node", "n_shingles", "parities"), F.col("node"), rare)
+    marks = materialize(marks.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("parities").alias("p")), "neardup-marks")
+    x, y = (marks.withColumnsRenamed({"node": c, "n": f"n{c}", "p": f"p{c}"}) for c in "uv")
+    passing = pairs.join(x, "u").join(y, "v").select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(_passing, "u long, v long")
+    return materialize(passing, "neardup-pairs")
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The linked ones of (u, v, text of u, text of v), in the order of u."""
+    shingles, last, s = Shingler(), None, None
+    for b in (whole.slice(i, 100) for whole in batches for i in range(0, whole.num_rows, 100)):
+        out = []
+        for u, v, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if x != last:
+                last, s = x, shingles(x)
+            t = shingles(y)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both >= THRESHOLD * (len(s) + len(t) - both) - 1e-9 and _node(s) == u and _node(t) == v:  # not other documents of the same ids
+                out.append((u, v))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["u", "v"])
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
@@ -176,8 +299,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bucket, and the components of these edges are the candidate clusters: no pair that shares a bucket is lost, and no
     bucket is expanded into pairs. Within a cluster all pairs are verified on whole shingle sets, recomputed from the
     texts, by block: a cluster of any size is cut into blocks of bounded size and each pair of blocks is a group of its
-    own, which gives counts and a spanning forest of its links, not the links. Links are exact but for pairs that share no
-    bucket and are in no common cluster: at a similarity of 0.8 one in 10 million at most (``RECALL``), at 0.85 one in 10 billion.
+    own, which gives counts and a spanning forest of its links, not the links. Linked pairs of different clusters, which the
+    bands miss, are found by an exact prefix join (:func:`prefix`, :func:`pairs_between`) and verified pair by pair, so no link is lost. A set
+    whose prefix has too few shingles of others is linked to none and is left out of all that.
 
     Null and empty texts, and texts without words, have the empty set, and equal sets are linked. Repeated rows count as
     documents; a null doc_id is kept, and is a class id only if no document of the class has one. Very long texts are
@@ -193,8 +317,9 @@ def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     texts = signed.groupBy("node", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     nodes = materialize(texts.groupBy("node").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "neardup-nodes")
 
+    near = shared_prefixes(signed)
     # a node's bands come once for each task and node, not for each copy
-    banded = signed.filter("n_shingles > 0").select("node", F.explode("bands").alias("bucket")).distinct()
+    banded = maybe_in(signed.filter("n_shingles > 0"), F.col("node"), near.select("node").distinct()).select("node", F.explode("bands").alias("bucket")).distinct()
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     leaders = materialize(leaders, "neardup-leaders")  # a table, so that a hot bucket's rows can be split in the join
     edges = banded.join(leaders, "bucket").filter("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
@@ -205,10 +330,12 @@ def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = materialize(members, "neardup-members")
 
-    # the texts of the nodes' first documents
-    reps = members.select("rep", "node").distinct()
-    read = maybe_in(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), F.col("doc_id"), reps.select("rep"))
-    wanted = read.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """(node, text) of the nodes' first documents."""
+        read = maybe_in(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), F.col("doc_id"), reps.select("rep"))
+        return read.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+
+    wanted = texts_of(members.select("rep", "node").distinct())
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = wanted.join(members.select("node", "comp", "block", "other", "copies", "texts"), "node").select(
         "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "copies", "texts", "text"
@@ -238,6 +365,15 @@ def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield result()
 
     found = materialize(grouped.mapInArrow(check, "u long, v long, documents long, texts long"), "neardup-links")
+    pairs = pairs_between(signed, near, clusters)
+    if pairs.limit(1).count():
+        both = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        texts = materialize(texts_of(nodes.join(both, "node").select("rep", "node")).distinct(), "neardup-texts")
+        x, y = (texts.withColumnsRenamed({"node": c, "text": f"text_{c}"}) for c in "uv")
+        sent = pairs.join(x, "u").join(y, "v").select("u", "v", "text_u", "text_v").repartition(n, "u", "v").sortWithinPartitions("u", "v")
+        linked = materialize(sent.mapInArrow(_linked, "u long, v long").distinct(), "neardup-linked")
+        ways = linked.union(linked.select("v", "u")).select("u", F.col("v").alias("node")).join(nodes, "node")
+        found = found.union(ways.select("u", F.lit(None).cast("long"), "copies", "texts")).union(linked.select("u", "v", F.lit(None).cast("long"), F.lit(None).cast("long")))
     links = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("documents").alias("documents"), F.sum("texts").alias("link_texts"))
     classes = connected_components(found.filter("v is not null"), "neardup-classes")
     named = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from kmerspark.llm import neardup
 from kmerspark.llm.common import maybe_in
 from kmerspark.llm.components import connected_components
-from kmerspark.llm.neardup import Shingler, choose_bands, drop_near_copies, jaccard_join
+from kmerspark.llm.neardup import BANDS, Shingler, choose_bands, drop_near_copies, jaccard_join, may_link, overlap, parities, prefix, share
 
 
 def words(r, n):
@@ -100,6 +102,44 @@ def test_only_texts_of_clusters_are_shuffled(spark, docs_of):
     assert maybe_in(rows, rows["doc_id"], rows.select("doc_id").limit(0)).collect() == []
 
 
+def test_links_that_no_band_finds(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "signature", lambda shingles: np.random.default_rng().integers(0, 1 << 62, BANDS))
+    texts = corpus()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_text_links"]) for r in jaccard_join(docs_of(texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_parities_tell_of_sets_that_are_not_linked():
+    r = random.Random(10)
+    for n, m, same in ((120, 140, 80), (64, 66, 30), (1000, 1100, 600), (4000, 4200, 2500)):
+        base = r.sample(range(1 << 60), n + m - same)
+        x, y = (np.array(sorted(s), np.uint64) for s in (base[:n], base[n - same :]))
+        assert not may_link(n, parities(x), m, parities(y)) and not may_link(m, parities(y), n, parities(x))
+        assert may_link(n, parities(x), n, parities(x))
+
+
+def test_linked_sets_share_their_prefix():
+    r = random.Random(8)
+    for _ in range(10_000):
+        a = r.randrange(1, r.choice((10, 90, 90)))
+        base = r.sample(range(1 << 30), 2 * a)
+        cut, more = r.randrange(a // 5 + 1), r.randrange(a // 4 + 1)
+        x, y = set(base[:a]), set(base[cut : a + more])
+        if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            p, q = (set(prefix(np.array(sorted(s), np.uint64)).tolist()) for s in (x, y))
+            assert may_link(len(x), parities(np.array(sorted(x), np.uint64)), len(y), parities(np.array(sorted(y), np.uint64)))
+            assert len(p & q) >= share(min(len(x), len(y))) >= max(share(overlap(len(x))), share(overlap(len(y))))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 50])
+def test_shingles_of_several_nodes(rows):
+    r = random.Random(9)
+    table = sorted((r.randrange(12), r.randrange(4)) for _ in range(40)) + [(99, 1), (99, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t[i] for t in table[j : j + rows]], pa.int64()) for i in range(2)], names=["g", "node"]) for j in range(0, len(table), rows)]
+    got = [tuple(t.values()) for b in neardup._shared(iter(batches)) for t in b.to_pylist()]
+    assert got == [t for t in sorted(set(table)) if len({x for g, x in table if g == t[0]}) > 1]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
