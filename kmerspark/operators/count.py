@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kmerspark.functions.alphabet import pack
 from kmerspark.scratch import scratch_path
 
-from .encode import counting_task
+from .encode import counting_task, long_counting_task
 from .extract import WORD, kmers, packed_kmers, spelled
 
 
@@ -37,20 +37,19 @@ def count_kmers(
     before ``saturate_bytes`` bounds the counts to what so many bytes store.
 
     ``engine``: "arrow" encodes batches to packed longs and combines them before the shuffle; "sql" makes the same longs inside the
-    JVM. Both pack up to 31 bases; longer k-mers are strings ("sql"). "auto" takes arrow where it can. Results are equal.
+    JVM. Both pack up to 31 bases. "auto" takes arrow's encoder, which for longer k-mers makes strings, combined by batch as well. Results are equal.
 
     ``packed`` leaves k-mers of up to 31 bases as longs, in column ``packed``: what merges and lookups join fastest.
     """
     if k > WORD and (engine == "arrow" or packed):
         raise ValueError(f"at most {WORD} bases are packed")
     key = "packed" if k <= WORD else "kmer"
-    if k > WORD:
-        rows = kmers(reads, k, seq, qual, min_qual, canonical).select("kmer", F.lit(1).cast("long").alias("n"))
-    elif engine == "sql":
-        rows = packed_kmers(reads, k, seq, qual, min_qual, canonical).select("packed", F.lit(1).cast("long").alias("n"))
+    if engine == "sql":
+        rows = (kmers if k > WORD else packed_kmers)(reads, k, seq, qual, min_qual, canonical).select(key, F.lit(1).cast("long").alias("n"))
     else:
         columns = [seq, qual] if qual is not None and min_qual is not None else [seq]
-        rows = reads.select(*columns).mapInArrow(counting_task(k, canonical, min_qual), "packed long, n long")
+        task = (long_counting_task if k > WORD else counting_task)(k, canonical, min_qual)
+        rows = reads.select(*columns).mapInArrow(task, f"{key} {'string' if k > WORD else 'long'}, n long")
     if only is not None:
         path = scratch_path(reads.sparkSession, "only")
         keyed(only, key).select(key).distinct().write.parquet(path)  # of known size, which decides whether it is broadcast
@@ -94,7 +93,7 @@ def saturate(counts: DataFrame, n_bytes: int) -> DataFrame:
 
 def distinct_kmers(reads: DataFrame, k: int, seq: str = "seq", canonical: bool = False) -> DataFrame:
     if k > WORD:
-        return kmers(reads, k, seq, canonical=canonical).distinct()
+        return reads.select(seq).mapInArrow(long_counting_task(k, canonical, None), "kmer string, n long").select("kmer").distinct()
     found = reads.select(seq).mapInArrow(counting_task(k, canonical, None), "packed long, n long")
     return spelled(found.select("packed").distinct(), k)
 

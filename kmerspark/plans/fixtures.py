@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer than two tasks a core.
+
+    A file is split by its bytes, at its row groups: a million keys of a few bytes are one task, though each becomes a read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def _digest(*parts: Column | str, letters: str = WITH_N) -> Column:
     cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
     return F.translate(F.md5(F.concat(*cols)), HEX, letters)
@@ -22,20 +31,20 @@ def _digest(*parts: Column | str, letters: str = WITH_N) -> Column:
 
 def reads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (F.col("l_orderkey"), "-", F.col("l_linenumber"))
-    return _table(spark, sf_dir, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("rid"), _digest(*key).alias("seq"), _digest("q", *key, letters=QUALITIES).alias("qual"))
+    return spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")).select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("rid"), _digest(*key).alias("seq"), _digest("q", *key, letters=QUALITIES).alias("qual"))
 
 
 def reads_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rid"), _digest(F.col("o_orderkey")).alias("seq"))
+    return spread(_table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").cast("string").alias("rid"), _digest(F.col("o_orderkey")).alias("seq"))
 
 
 def reads_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), _digest("c", F.col("c_custkey")).alias("seq"))
+    return spread(_table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("rid"), _digest("c", F.col("c_custkey")).alias("seq"))
 
 
 def reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey") % 700
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.concat(*[_digest("L", str(i), key, letters=NO_N) for i in range(5)]).alias("seq"))
+    return spread(_table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("rid"), F.concat(*[_digest("L", str(i), key, letters=NO_N) for i in range(5)]).alias("seq"))
 
 
 def reads_text(spark: SparkSession, sf_dir: str) -> DataFrame:
