@@ -45,16 +45,22 @@ def _runs(df: DataFrame, k: int, seq: str, qual: str | None, min_qual: int | Non
 def packed_kmers(df: DataFrame, k: int, seq: str = "seq", qual: str | None = None, min_qual: int | None = None, canonical: bool = False) -> DataFrame:
     """As :func:`kmers`, but packed (k up to 31), in column ``packed``.
 
-    Runs are cut to pieces of up to 31 bases, each of which is read as one number, and its reverse complement as another; windows are
-    shifts of these, so no string is made for a window.
+    Runs are cut to pieces of up to 31 bases, each of which is read once as a number, whose bits give its reverse complement; windows
+    are shifts of these, so no string is made for a window.
     """
     if k > WORD:
         raise ValueError(f"at most {WORD} bases are packed")
     out = _runs(df, k, seq, qual, min_qual, WORD - k + 1)
-    n = F.length("_run")
     forward = F.conv(F.translate("_run", "ACGT", "0123"), 4, 10).cast("long")
-    reverse = F.conv(F.translate(F.reverse("_run"), "ACGT", "3210"), 4, 10).cast("long")
-    out = out.select(forward.alias("_f"), reverse.alias("_r"), F.explode(F.sequence(F.lit(0), n - k)).alias("_i"), (n - k).alias("_n"))
+    out = out.select(forward.alias("_f"), F.length("_run").alias("_l"))
+    if canonical:  # the complement's pairs of bits in reverse order; a select each, as each step takes the last one twice
+        out = out.select("_f", "_l", F.bitwise_not("_f").alias("_r"))
+        for bits, pattern in ((2, "33"), (4, "0F"), (8, "00FF"), (16, "0000FFFF")):
+            keep = int(pattern * (16 // len(pattern)), 16)
+            out = out.select("_f", "_l", F.expr(f"shiftrightunsigned(_r, {bits}) & {keep}L | shiftleft(_r & {keep}L, {bits})").alias("_r"))
+        out = out.select("_f", "_l", F.expr("shiftrightunsigned(shiftrightunsigned(_r, 32) | shiftleft(_r, 32), 64 - 2 * _l)").alias("_r"))
+    # in a select of its own: numbers beside the explode would be made anew for each window
+    out = out.select(*out.columns, (F.col("_l") - k).alias("_n"), F.explode(F.sequence(F.lit(0), F.col("_l") - k)).alias("_i"))
     mask = (1 << 2 * k) - 1
     ahead = F.expr(f"shiftright(_f, 2 * (_n - _i)) & {mask}L")
     return out.select((F.least(ahead, F.expr(f"shiftright(_r, 2 * _i) & {mask}L")) if canonical else ahead).alias("packed"))

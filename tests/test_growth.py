@@ -48,3 +48,15 @@ def test_long_kmers_are_combined_by_batch(spark, monkeypatch, k, canonical):
     quals = spark.createDataFrame([(s, "I" * 50 + "!" + "I" * 120 if s else s) for s in seqs], "seq string, qual string")
     tables = [{x["kmer"]: x["count"] for x in C.count_kmers(quals, k, qual="qual", min_qual=40, canonical=canonical, engine=e).collect()} for e in ("auto", "sql")]
     assert tables[0] == tables[1] != expected
+
+
+@pytest.mark.parametrize("canonical", [True, False])
+def test_pieces_are_packed_before_their_windows(spark, canonical):
+    from kmerspark.operators import extract
+
+    df = spark.createDataFrame([("ACGTTGCANNACGGGTTTACAGTACCAGTTTGACCAAACGT",), ("T" * 31,), ("A" * 31,)], "seq string")
+    for k in (1, 9, 30, 31):
+        assert Counter(x["kmer"] for x in extract.spelled(extract.packed_kmers(df, k, canonical=canonical), k).collect()) == plain([x["seq"] for x in df.collect()], k, canonical)
+    plan = extract.packed_kmers(df, 9, canonical=canonical)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = next(i for i, line in enumerate(plan) if "explode(sequence(" in line)
+    assert any("conv(" in line for line in plan[windows + 1 :]) and not any("conv(" in line for line in plan[:windows])
