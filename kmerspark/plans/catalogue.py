@@ -517,7 +517,7 @@ def _(spark, d):
 
 @query("fastq_split", with_sql(X.SQL["reads_a"]) + "SELECT rid AS header, seq, qual FROM reads_a")
 def _(spark, d):
-    """Four-line FASTQ in one file, read in many ranges."""
+    """Four-line FASTQ, of which each task writes a file, read in many ranges of each."""
     path = scratch_path(spark, "fastq")
-    sequences.to_fastq(X.reads_a(spark, d).withColumnRenamed("rid", "header")).coalesce(1).write.text(path)
+    sequences.to_fastq(X.reads_a(spark, d).withColumnRenamed("rid", "header")).write.text(path)
     return sequences.read_sequences(spark, path, split_bytes=1 << 20).select("header", "seq", "qual")
