@@ -16,9 +16,11 @@ def string_mers(text: str, k: int, canonical: bool = False) -> Iterator[str]:
     """The valid windows of a string in order."""
     for run in _RUN.findall(text or ""):
         run = run.upper()
-        for i in range(len(run) - k + 1):
+        n = len(run)
+        other = run.translate(_SWAP)[::-1] if canonical and n >= k else ""  # once a run: windows of it are the windows' complements
+        for i in range(n - k + 1):
             m = run[i : i + k]
-            yield min(m, m.translate(_SWAP)[::-1]) if canonical else m
+            yield min(m, other[n - k - i : n - i]) if canonical else m
 
 
 def string_canonicals(text: str, k: int) -> Iterator[str]:
