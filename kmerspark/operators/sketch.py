@@ -144,6 +144,15 @@ def sketch_filter(counts: DataFrame, sketch: DataFrame, shape: Counter) -> DataF
 
 def write_counter(sketch: DataFrame, path: str, shape: Counter) -> None:
     """One file of all cells, which other tools read; blocks pass through the driver one after another."""
+    held = sketch if sketch.is_cached else sketch.select("*").persist()  # a sort takes its input twice, and building it is the work
+    try:
+        _write_blocks(held, path, shape)
+    finally:
+        if held is not sketch:
+            held.unpersist()
+
+
+def _write_blocks(sketch: DataFrame, path: str, shape: Counter) -> None:
     empty, n = pack_cells(np.zeros(BLOCK, np.uint8)).tobytes(), _blocks(shape.cells)
     fs, place = filesystem(path)
     with fs.open_output_stream(place) as f:

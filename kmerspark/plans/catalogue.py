@@ -478,10 +478,17 @@ def _(spark, d):
 _FILES = X.SQL["reads_c"], mers_sql("m", "reads_c", 12), "c AS (SELECT kmer, count(*)::BIGINT AS count FROM m GROUP BY kmer)"
 
 
+def _counted_once(spark, d):
+    """Counts that a counter is sized by, built from and asked for: written, so that they are not counted anew for each."""
+    path = scratch_path(spark, "counted")
+    C.count_kmers(X.reads_c(spark, d), 12).write.parquet(path)
+    return X.spread(spark.read.parquet(path))
+
+
 @query("bloom_sketch_fp_bounded", with_sql(*_FILES) + "SELECT count(*) FILTER (WHERE count >= 2)::BIGINT AS twice, 0::BIGINT AS lost, TRUE AS within FROM c")
 def _(spark, d):
     """k-mers that a Bloom counter of a first pass keeps: all that occur twice, and a bounded share of those that occur once."""
-    counts = C.count_kmers(X.reads_c(spark, d), 12)
+    counts = _counted_once(spark, d)
     shape = sketch.Counter.sized(12, max(counts.count(), 1), 0.01)
     seen = sketch.check(counts, sketch.bloom_counter(counts, shape), shape)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -492,7 +499,7 @@ def _(spark, d):
 @query("bloom_counter_file", with_sql(*_FILES) + "SELECT count(*)::BIGINT AS kmers, 0::BIGINT AS lost, TRUE AS within FROM c")
 def _(spark, d):
     """A counter written as one file, read back by ranges, and asked for every k-mer."""
-    counts = C.count_kmers(X.reads_c(spark, d), 12)
+    counts = _counted_once(spark, d)
     shape = sketch.Counter.sized(12, max(counts.count(), 1), 0.001)
     path = scratch_path(spark, "counter.bc")
     sketch.write_counter(sketch.bloom_counter(counts, shape), path, shape)

@@ -60,3 +60,30 @@ def test_pieces_are_packed_before_their_windows(spark, canonical):
     plan = extract.packed_kmers(df, 9, canonical=canonical)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     windows = next(i for i, line in enumerate(plan) if "explode(sequence(" in line)
     assert any("conv(" in line for line in plan[windows + 1 :]) and not any("conv(" in line for line in plan[:windows])
+
+
+def test_a_counter_is_built_once_for_its_file(spark, tmp_path):
+    from kmerspark.operators import sketch
+
+    made = spark.sparkContext.accumulator(0)
+    counts = spark.createDataFrame([("ACGTACGTA", 1), ("CCCCCCCCC", 2), ("TTTTTTTTT", 1)], "kmer string, count long")
+    shape = sketch.Counter.sized(9, 3, 0.01)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cells = sketch.bloom_counter(counts, shape).mapInArrow(seen, "block long, cells binary")
+    sketch.write_counter(cells, str(tmp_path / "x.bc"), shape)
+    assert made.value == 1  # the one block
+    back, again = sketch.read_counter(spark, str(tmp_path / "x.bc"))
+    assert {x["kmer"]: x["seen"] for x in sketch.check(counts, back, again).collect()} == {"ACGTACGTA": 1, "CCCCCCCCC": 2, "TTTTTTTTT": 1}
+
+
+@pytest.mark.parametrize("k,canonical", [(1, True), (5, True), (5, False), (8, True), (9, True)])
+def test_windows_of_a_text(k, canonical):
+    for text in ("ACGGTTAC", "acgNNacgttgca", "", None, "ACGTACGT", "ACG"):
+        runs = "".join(c if c in "ACGT" else " " for c in (text or "").upper()).split()
+        mers = [run[i : i + k] for run in runs for i in range(len(run) - k + 1)]
+        assert list(string_mers(text, k, canonical)) == [min(m, m[::-1].translate(str.maketrans("ACGT", "TGCA"))) if canonical else m for m in mers]
